@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = []
+_MODULES: list[str] = ["q_nearest"]
 
 
 def _loaded() -> list:
