@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..tables import cut
+from ..tables import cut, written
 
 #: Amounts of copies differ by at most this (minor units); a block spans one more.
 AMOUNT_SLACK = 5
@@ -19,7 +19,7 @@ AMOUNT_SLACK = 5
 COVERAGE = 0.5
 BUCKETS = 64
 
-COLUMNS = ["bucket", "block", "id", "load", "scope", "amount", "content", "paragraphs", "present", "moment", "subject"]
+COLUMNS = ["bucket", "block", "id", "load", "amount", "content", "paragraphs", "lane"]
 
 
 def _core(c: Column) -> Column:
@@ -52,46 +52,52 @@ def movement_hashes(records: DataFrame) -> DataFrame:
     rows = records.where("source = 'processor_recon' and id is not null").groupBy("id").agg(F.min(first).alias("r")).select("id", "r.*")
     rows = rows.where("org_id is not null and load is not null and amount is not null")
     fields = ["moment", "order", "payment", "utr", "party", "day", "fee", "account"]
-    filled = lambda f: F.nullif(F.col(f), F.lit(""))
-    paragraphs = F.filter(F.array(*(F.when(filled(f).isNotNull(), F.xxhash64(F.lit(f), f)) for f in fields)), lambda h: h.isNotNull())
-    present = F.filter(F.array(*(F.when(filled(f).isNotNull(), F.lit(k)) for k, f in enumerate(fields))), lambda h: h.isNotNull())
-    block = F.xxhash64("org_id", "kind", F.coalesce("moment", F.concat(F.lit("#"), F.coalesce("payment", "order", "utr", F.lit("")))), F.floor(F.col("amount") / (AMOUNT_SLACK + 1)))
-    out = rows.withColumns(
-        {
-            "scope": F.xxhash64("org_id", "kind"),
-            "block": block,
-            "content": F.xxhash64("org_id", "kind", "amount", *fields),
-            "paragraphs": paragraphs,
-            "present": present,
-            # What the movement is about: two different ones are never copies of each other.
-            "subject": F.coalesce("order", "payment"),
-        }
-    )
-    return out.withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int")).select(*COLUMNS, "org_id", "kind", "payment", "order", "utr")
+    # One hash per field, in a fixed order; null where the field is empty.
+    paragraphs = F.array(*(F.when(F.col(f) != "", F.hash(f)) for f in fields))
+    # What a block is cut from: tenant, kind and moment, or what stands in for a missing moment.
+    lane = F.xxhash64("org_id", "kind", F.coalesce("moment", F.concat(F.lit("#"), F.coalesce("payment", "order", "utr", F.lit("")))))
+    out = rows.withColumns({"lane": lane, "content": F.xxhash64("org_id", "kind", "amount", *fields), "paragraphs": paragraphs})
+    out = out.withColumn("block", _block(F.col("lane"), _slot()))
+    return out.withColumn("bucket", _bucket()).select(*COLUMNS)
+
+
+def _slot() -> Column:
+    return F.floor(F.col("amount") / (AMOUNT_SLACK + 1))
+
+
+def _block(lane: Column, slot: Column) -> Column:
+    return F.xxhash64(lane, slot)
+
+
+def _bucket() -> Column:
+    return F.pmod("block", F.lit(BUCKETS)).cast("int")
 
 
-def _neighbour_blocks(h: DataFrame) -> DataFrame:
-    """Each row under its own block and the two next to it, so that close amounts in different slots still meet."""
-    slot = F.floor(F.col("amount") / (AMOUNT_SLACK + 1))
-    stand_in = F.coalesce("moment", F.concat(F.lit("#"), F.coalesce("payment", "order", "utr", F.lit(""))))
-    near = F.array(*(F.xxhash64("org_id", "kind", stand_in, slot + k) for k in (-1, 0, 1)))
-    return h.select(F.explode(near).alias("block"), *(c for c in COLUMNS if c not in ("block", "bucket"))).withColumn("bucket", F.pmod("block", F.lit(BUCKETS)).cast("int"))
+#: Positions of the moment, the order and the payment among the paragraphs.
+MOMENT, ORDER, PAYMENT = 0, 1, 2
 
 
 def repeats(new: DataFrame, accepted: DataFrame) -> DataFrame:
     """(new_id, old_id, full, coverage): what of ``new`` repeats what of ``accepted``, loads being different.
 
-    The join is on bucket and block only; hot tenants or counterparties are spread over their moments and amounts.
+    The join is on bucket and block only, with rows of a few numbers; hot tenants or counterparties are spread over
+    their moments and amounts. A new row also looks into the two neighbouring blocks, so that close amounts in
+    different slots still meet. The paragraphs are fetched for the pairs that met.
     """
-    a = _neighbour_blocks(new).select("bucket", "block", *(F.col(c).alias(f"n_{c}") for c in COLUMNS[2:]))
-    b = accepted.select("bucket", "block", *(F.col(c).alias(f"o_{c}") for c in COLUMNS[2:]))
-    x = a.join(b, ["bucket", "block"]).where("n_id <> o_id and n_load <> o_load and n_scope = o_scope")
-    x = x.where(F.abs(F.col("n_amount") - F.col("o_amount")) <= AMOUNT_SLACK)
-    x = x.where("n_moment is null or o_moment is null or n_moment = o_moment").where("n_subject is null or o_subject is null or n_subject = o_subject or size(array_intersect(n_paragraphs, o_paragraphs)) >= 4")
-    both = F.size(F.array_intersect("n_present", "o_present"))
-    shared = F.size(F.array_intersect("n_paragraphs", "o_paragraphs"))
+    near = F.array(*(_block(F.col("lane"), _slot() + k) for k in (-1, 0, 1)))
+    a = new.select(F.explode(near).alias("block"), F.col("id").alias("new_id"), F.col("load").alias("n_load"), F.col("amount").alias("n_amount")).withColumn("bucket", _bucket())
+    b = accepted.select("bucket", "block", F.col("id").alias("old_id"), F.col("load").alias("o_load"), F.col("amount").alias("o_amount"))
+    met = a.join(b, ["bucket", "block"]).where("new_id <> old_id and n_load <> o_load").where(F.abs(F.col("n_amount") - F.col("o_amount")) <= AMOUNT_SLACK)
+    met = met.select("new_id", "old_id").distinct()
+    x = met.join(new.select(F.col("id").alias("new_id"), F.col("paragraphs").alias("n"), F.col("content").alias("n_content")), "new_id")
+    x = x.join(accepted.select(F.col("id").alias("old_id"), F.col("paragraphs").alias("o"), F.col("content").alias("o_content")), "old_id")
+    count = lambda test: F.aggregate(F.zip_with("n", "o", test), F.lit(0), lambda m, t: m + F.coalesce(t.cast("int"), F.lit(0)))
+    both, shared = count(lambda p, q: p.isNotNull() & q.isNotNull()), count(lambda p, q: p == q)
+    differ = lambda k: F.coalesce(F.col("n")[k] != F.col("o")[k], F.lit(False))
+    # Another moment is another movement; so is another order paid by another payment.
+    x = x.where(~differ(MOMENT) & ~(differ(ORDER) & differ(PAYMENT)))
     x = x.withColumn("coverage", shared / F.greatest(both, F.lit(1))).withColumn("full", F.col("n_content") == F.col("o_content"))
-    return x.where(F.col("full") | (F.col("coverage") >= COVERAGE)).select(F.col("n_id").alias("new_id"), F.col("o_id").alias("old_id"), "full", "coverage").distinct()
+    return x.where(F.col("full") | (F.col("coverage") >= COVERAGE)).select("new_id", "old_id", "full", "coverage")
 
 
 def all_repeats(records: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def all_repeats(records: DataFrame) -> DataFrame:
     (record_a, record_b, full, coverage) with record_a < record_b. Nulls: a null field is no paragraph and neither
     agrees nor disagrees. Repeated deliveries of an id count as its first arrival. An empty table gives no pairs.
     """
-    h = cut(movement_hashes(records))
+    h = written(movement_hashes(records), "hashes")
     pairs = repeats(h, h)
     a, b = F.least("new_id", "old_id"), F.greatest("new_id", "old_id")
     return pairs.select(a.alias("record_a"), b.alias("record_b"), "full", "coverage").distinct()

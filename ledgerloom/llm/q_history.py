@@ -15,7 +15,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_by_load(spark: SparkSession, d: str) -> DataFrame:
     """Per load: how many of its records repeat an earlier load, and how many of those are full copies."""
-    h = H.cut(H.movement_hashes(table(spark, d, "recon_record")))
+    h = H.written(H.movement_hashes(table(spark, d, "recon_record")), "hashes")
     found = H.repeats(h, h)
     order = h.select("id", "load")
     found = found.join(order.withColumnRenamed("id", "new_id"), "new_id").join(order.select(F.col("id").alias("old_id"), F.col("load").alias("old_load")), "old_id")
