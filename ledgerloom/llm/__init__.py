@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = ["q_entity_match", "q_history", "q_leaks", "q_names", "q_nearest"]
+_MODULES: list[str] = ["q_abuse", "q_entity_match", "q_history", "q_leaks", "q_mixing", "q_names", "q_nearest"]
 
 
 def _loaded() -> list:
