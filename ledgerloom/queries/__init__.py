@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity
+from . import integrity, scalars
 
-_MODULES = [integrity]
+_MODULES = [integrity, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
