@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity, scalars
+from . import integrity, matching, scalars
 
-_MODULES = [integrity, scalars]
+_MODULES = [integrity, scalars, matching]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
