@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity, matching, scalars
+from . import analysis, integrity, matching, scalars
 
-_MODULES = [integrity, scalars, matching]
+_MODULES = [integrity, scalars, matching, analysis]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
