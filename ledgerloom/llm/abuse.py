@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 #: The kernel: subsequence order, total gap, discount of a gap, size of the hashed feature space (a power of two).
 ORDER, GAPS, DISCOUNT, DIMENSIONS = 4, 2, 0.6, 1 << 17
-#: Characters of a stretch that is scored; landmarks; rounds of picking stretches; folds to set the threshold.
-STRETCH, LANDMARKS, ROUNDS, FOLDS = 36, 640, 5, 2
+#: Characters of a stretch that is scored; landmarks; rounds of picking stretches.
+STRETCH, LANDMARKS, ROUNDS = 36, 640, 9
+#: The cut lies this far from what nearly all negative documents stay below to the middle positive document.
+NEARLY_ALL, CUT = 0.995, 0.12
 #: Bound of the labelled documents that the classifier is fitted on, and of the negative stretches.
 #: Runs of characters that tell what negative documents also say, and the share of new ones a positive stretch has.
 GRAM, GRAM_SPACE, STRANGE = 7, 1 << 22, 0.66
-MAX_LABELLED, MAX_NEGATIVE = 4000, 5000
+MAX_LABELLED, MAX_NEGATIVE = 3000, 5000
 
 _PATTERNS = [(0, *c) for c in itertools.combinations(range(1, ORDER + GAPS), ORDER - 1)]
 _WEIGHTS = [DISCOUNT ** (p[-1] + 1 - ORDER) for p in _PATTERNS]
@@ -121,10 +123,11 @@ class Model:
             found[part] = 1 / (1 + np.exp(np.clip(-self.scale * (worst - self.threshold), -50, 50)))
         return found
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _svm(z: np.ndarray, y: np.ndarray, heavy: np.ndarray, cost: float = 10.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, classes weighted alike, by accelerated gradient descent."""
     n, m = z.shape
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    share = share * heavy
     x = np.hstack([z, np.ones((n, 1))])
     pull = np.r_[np.full(m, 1.0 / (cost * 100)), 0.0]
     gram = (x * share[:, None]).T @ x
@@ -144,15 +147,16 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) ->
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def _fold(pos: list[Vector], neg: list[Vector], rng: np.random.Generator) -> Model:
+def _fold(pos: list[Vector], neg: list[Vector], heavy: list[float], rng: np.random.Generator) -> Model:
     """Nyström SVM on embedded stretches, folded into one weight per subsequence."""
     vecs = pos + neg
     y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
     half = LANDMARKS // 2
-    # Half of the landmarks are positive stretches; of the negative ones half are the latest, which are the hardest.
-    late = max(0, len(neg) - LANDMARKS // 4)
-    rest = LANDMARKS - min(half, len(pos)) - (len(neg) - late)
-    chosen = np.r_[rng.permutation(len(pos))[:half], len(pos) + np.r_[np.arange(late, len(neg)), rng.permutation(late)[: max(0, rest)]].astype(int)]
+    # Half of the landmarks are positive stretches; of the negative ones half are the heaviest, where the last model erred.
+    by_weight = np.argsort(-np.asarray(heavy), kind="stable")
+    hardest, others = by_weight[: LANDMARKS // 4], by_weight[LANDMARKS // 4 :]
+    rest = max(0, LANDMARKS - min(half, len(pos)) - len(hardest))
+    chosen = np.r_[rng.permutation(len(pos))[:half], len(pos) + np.r_[hardest, rng.permutation(others)[:rest]].astype(int)]
     used = np.unique(np.concatenate([vecs[k][0] for k in chosen]))
     slot = np.full(DIMENSIONS, len(used), dtype=np.int64)
     slot[used] = np.arange(len(used))
@@ -163,7 +167,7 @@ def _fold(pos: list[Vector], neg: list[Vector], rng: np.random.Generator) -> Mod
     val, vec = np.linalg.eigh(kernel.astype(np.float64) + 1e-3 * np.eye(len(chosen)))
     root = (vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T).astype(np.float32)
     z = np.stack([v.astype(np.float32) @ marks[slot[i]] for i, v in vecs]) @ root
-    w, b = _svm(z, y)
+    w, b = _svm(z, y, np.r_[np.ones(len(pos)), heavy])
     weights = np.zeros(DIMENSIONS, dtype=np.float32)
     weights[used] = marks[:-1] @ (root @ w.astype(np.float32))
     return Model(weights, b)
@@ -210,6 +214,7 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
         cuts = [c[s : s + STRETCH] for c in neg for s in rng.integers(0, max(1, len(c) - STRETCH + 1), each)]
         # Different stretches only: what many documents say word for word counts once.
         picks = {c.tobytes(): embed(c) for c in cuts[: MAX_NEGATIVE // 2]}
+        heavy = dict.fromkeys(picks, 1.0)
         model = None
         for _ in range(ROUNDS):
             # The stretch of each positive document that looks worst, among those that negative documents do not say.
@@ -223,52 +228,29 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
                     chosen += [embed(c[k : k + STRETCH]) for k in (max(0, s - 9), s, s + 9) if len(c) - k >= ORDER + GAPS]
             if len(chosen) < 3:
                 break
-            model = _fold(chosen, list(picks.values())[-MAX_NEGATIVE:], rng)
-            # Hard negatives: what looks worst in each part of each negative document joins in, hardest last.
+            keys = list(picks)[-MAX_NEGATIVE:]
+            model = _fold(chosen, [picks[k] for k in keys], [heavy[k] for k in keys], rng)
+            # Hard negatives: what looks worst in each part of each negative document joins in, hardest last; what
+            # still looks bad though the model has seen it weighs more.
             hard: dict[bytes, tuple[float, np.ndarray]] = {}
             for c, m in zip(neg, model.margins(neg)):
                 for k in range(0, len(m), 48):
                     t = int(m[k : k + 48].argmax()) + k
-                    if m[t] > -0.7 and (x := c[t : t + STRETCH]).tobytes() not in picks:
-                        hard[x.tobytes()] = (float(m[t]), x)
-            for key, (_, x) in sorted(hard.items(), key=lambda h: h[1][0])[-MAX_NEGATIVE // 3 :]:
-                picks[key] = embed(x)
+                    if m[t] > -0.7:
+                        hard[c[t : t + STRETCH].tobytes()] = (float(m[t]), c[t : t + STRETCH])
+            for key, (margin, x) in sorted(hard.items(), key=lambda h: h[1][0])[-MAX_NEGATIVE // 3 :]:
+                if key not in picks:
+                    picks[key] = embed(x)
+                heavy[key] = min(heavy.get(key, 1.0) * (4.0 if margin > -0.4 else 2.0), 256.0)
         return model or Model(np.zeros(DIMENSIONS, dtype=np.float32), -50.0)
 
-    # Out-of-fold margins, where copies of a text share a fold.
-    fold = np.asarray([hash_of(t) % FOLDS for t in texts])
-    margins = np.full(len(docs), np.nan)
-    for k in range(FOLDS):
-        rows = np.flatnonzero(fold != k)
-        if y[rows].any() and (~y[rows]).any():
-            m = fit(rows)
-            rest = np.flatnonzero(fold == k)
-            margins[rest] = [x.max() for x in m.margins([docs[i] for i in rest])]
     model = fit(np.arange(len(docs)))
-    # Half way between the cut for unseen phrases (out of fold) and that for learnt ones.
-    own = np.asarray([x.max() for x in model.margins(docs)])
-    model.threshold = (best_threshold(margins[~np.isnan(margins)], y[~np.isnan(margins)]) + best_threshold(own, y)) / 2
+    tops = np.asarray([x.max() for x in model.margins(docs)])
+    low, high = float(np.quantile(tops[~y], NEARLY_ALL)), float(np.median(tops[y]))
+    model.threshold = low + CUT * max(0.0, high - low)
     return model
 
 
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(normal(text)[:400].encode())
-
-
-def best_threshold(margins: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of the gap to the next margin."""
-    if not len(margins) or not y.any():
-        return 0.0
-    order = np.argsort(-margins, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + y.sum())
-    k = int(f1.argmax())
-    after = margins[order[k + 1]] if k + 1 < len(order) else margins[order[k]] - 1.0
-    return float((margins[order[k]] + after) / 2)
-
-
 def labelled(documents: DataFrame, abuse_label: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, text, positive): documents by the majority of their annotators; ties count as positive.
 
