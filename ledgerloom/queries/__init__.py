@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, integrity, matching, scalars
+from . import analysis, integrity, matching, runs, scalars
 
-_MODULES = [integrity, scalars, matching, analysis]
+_MODULES = [integrity, scalars, matching, analysis, runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,11 +198,14 @@ class BlockReader:
                     got.discard(tag)
                     row = ["" if v is None else v for v in values]
                     cells[tag] = dict(zip(names, row))
-                    # Exact check behind the reader: it lets a quote mark pass inside a cell that is not enclosed.
+                    # Exact checks behind the reader: it lets a quote mark pass inside a cell that is not enclosed.
                     if '"' in lines[tag] and not grammar.fullmatch(lines[tag]):
                         reason[tag] = "quoting"
                     elif is_skipped(row):
                         status[tag] = STATUS_SKIPPED
+                    elif lines[tag].endswith(sep) and len(loose_cells(lines[tag], sep)) != len(names):
+                        # It also lets one empty cell too many pass at the end of a row.
+                        reason[tag] = "column_count"
                     elif bad:
                         reason[tag] = "value"
                     done.add(tag)
