@@ -42,7 +42,7 @@ def movement_hashes(records: DataFrame) -> DataFrame:
         F.col("amount_minor").alias("amount"),
         F.nullif(F.trim(F.element_at("raw", "settled_at")), F.lit("")).alias("moment"),
         _core(ext("order_id")).alias("order"),
-        F.coalesce(_core(ext("payment_id")), _core(ext("entity_id"))).alias("payment"),
+        _core(ext("payment_id")).alias("payment"),
         F.nullif(F.upper(F.trim(ext("settlement_utr"))), F.lit("")).alias("utr"),
         F.regexp_replace(fold(F.coalesce("counterparty", F.lit(""))), "[^A-Z]", "").alias("party"),
         F.col("value_date").cast("string").alias("day"),
@@ -94,8 +94,9 @@ def repeats(new: DataFrame, accepted: DataFrame) -> DataFrame:
     count = lambda test: F.aggregate(F.zip_with("n", "o", test), F.lit(0), lambda m, t: m + F.coalesce(t.cast("int"), F.lit(0)))
     both, shared = count(lambda p, q: p.isNotNull() & q.isNotNull()), count(lambda p, q: p == q)
     differ = lambda k: F.coalesce(F.col("n")[k] != F.col("o")[k], F.lit(False))
-    # Another moment is another movement; so is another order paid by another payment.
-    x = x.where(~differ(MOMENT) & ~(differ(ORDER) & differ(PAYMENT)))
+    alike = lambda k: F.coalesce(F.col("n")[k] == F.col("o")[k], F.lit(False))
+    # Another moment is another movement; so is another order or payment, unless the other of the two agrees.
+    x = x.where(~differ(MOMENT) & (alike(ORDER) | alike(PAYMENT) | ~(differ(ORDER) | differ(PAYMENT))))
     x = x.withColumn("coverage", shared / F.greatest(both, F.lit(1))).withColumn("full", F.col("n_content") == F.col("o_content"))
     return x.where(F.col("full") | (F.col("coverage") >= COVERAGE)).select("new_id", "old_id", "full", "coverage")
 
