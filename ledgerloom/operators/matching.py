@@ -156,9 +156,9 @@ def pool_pass(batches: DataFrame, credits: DataFrame, payments: DataFrame, parti
     """Aggregate (several batches in one credit; one batch in several credits) and subset passes, per partition.
 
     Inputs are what the earlier passes left, with the ``partition`` columns: batches (batch_key, net), credits
-    (credit_id, amount), payments (payment_id, amount). Credits are consumed in id order and only the smallest ids of
-    the fixed pools enter, so each partition brings at most BLOCK_POOL batches per credit step; the pools are part of
-    the result's definition, the rest goes on to the fuzzy pass.
+    (credit_id, amount), payments (payment_id, amount). Credits are consumed in id order against the pools, which are
+    part of the passes' definition. A partition is meant to be small (a tenant's account and day): its first
+    4 * BLOCK_POOL ids of each kind enter, the rest is what the fuzzy pass is for.
     """
     tag = lambda df, kind, key, value: df.select(*partition, F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"))
     items = tag(batches, "b", "batch_key", "net").unionByName(tag(credits, "c", "credit_id", "amount")).unionByName(tag(payments, "p", "payment_id", "amount"))
@@ -193,9 +193,8 @@ def pool_pass(batches: DataFrame, credits: DataFrame, payments: DataFrame, parti
                 p = [x for x in p if x[0] not in hit]
         return pd.DataFrame(out, columns=[*partition, "pass", "credits", "members", "residual", "confidence"])
 
-    # Only what can enter the pools is shipped: the first ids of each kind in a partition, ranked before grouping.
-    first = items.withColumn("rank", F.row_number().over(Window.partitionBy(*partition, "kind").orderBy("key")))
-    first = first.where(F.col("rank") <= F.when(F.col("kind") == "p", PAYMENT_POOL).otherwise(4 * BLOCK_POOL)).drop("rank")
+    # Only what can enter the pools is shipped: the first ids of each kind, cut on the map side before the shuffle.
+    first = items.withColumn("rank", F.row_number().over(Window.partitionBy(*partition, "kind").orderBy("key"))).where(F.col("rank") <= 4 * BLOCK_POOL).drop("rank")
     return first.groupBy(*partition).applyInPandas(run, schema)
 
 

@@ -13,7 +13,7 @@ from ..operators import learning as L
 from ..operators import matching as M
 from ..operators import memory as Y
 from ..operators.rules import Rule, first_match
-from ..tables import table
+from ..tables import table, written
 from .matching import _OUTCOME, _views
 
 QUERIES = {}
@@ -38,8 +38,10 @@ def query(sql: str | None = None):
 
 
 def _outcomes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and credits, written once: every producer of exceptions reads them."""
     _, b, c, led = _views(spark, d)
-    return M.outcome(b, c, led), c
+    c = written(c, "credits")
+    return written(M.outcome(b, c, led), "outcomes"), c
 
 
 def _register(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

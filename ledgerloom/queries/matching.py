@@ -137,11 +137,11 @@ def blocked_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pool_passes(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregate, split and subset passes per settlement month, over what the earlier passes left."""
+    """Aggregate, split and subset passes per settlement day, over what the earlier passes left."""
     lines, b, c, led = _views(spark, d)
-    part = F.date_format("settled_at", "yyyy-MM").alias("part")
+    part = F.date_format("settled_at", "yyyy-MM-dd").alias("part")
     free = M.outcome(b, c, led).where("outcome = 'no_credit'").select(part, "batch_key", "net")
-    orphan = c.where("utr is null").select(F.date_format("value_date", "yyyy-MM").alias("part"), "credit_id", "amount")
+    orphan = c.where("utr is null").select(F.date_format("value_date", "yyyy-MM-dd").alias("part"), "credit_id", "amount")
     pays = lines.where("kind = 'payment'").select(part, "payment_id", "amount").distinct()
     return M.pool_pass(free, orphan, pays, ["part"])
 
