@@ -234,3 +234,22 @@ def test_chain_and_clusters(spark):
     x = spark.createDataFrame([("e1", "A", "rule:q", 5), ("e2", "A", "rule:q", 7), ("e3", "A", None, -7)], "exception_id string, category string, classified_by string, impact bigint")
     got = {(r["rule_id"], r["direction"]): (r["count"], r["gross_impact"], r["example_id"]) for r in X.clusters(x).collect()}
     assert got == {("q", "over"): (2, 12, "e2"), ("unclassified", "short"): (1, 7, "e3")}
+
+
+def test_evidence_and_generated_data(spark):
+    from ledgerloom.operators import evidence as V
+    from ledgerloom.operators import generate as G
+
+    lib = spark.createDataFrame([("s", "C", "b", "x", "t1"), ("s", "C", "b", "y", "t1"), ("s", "C", "b", "y", "t2"), ("q", "C", "b", "x", "t3"), ("q", "C", "b", "x", "t4")], "shape_key string, category string, band string, action string, contributor string")
+    cases = spark.createDataFrame([(1, "s", "C", "b"), (2, "none", "C", "b"), (3, "none", "Z", "b")], "case_id int, shape_key string, category string, band string")
+    assert {r["case_id"]: (r["found_by"], r["action"], r["occurrences"]) for r in V.recall_patterns(cases, lib).collect()} == {1: ("shape", "y", 2), 2: ("category", "x", 3), 3: (None, None, None)}
+    o = G.orders(spark, 500)
+    lines = G.processor_lines(o)
+    assert o.count() == 500 and lines.where("kind = 'payment'").count() == 500 and 5 < lines.where("kind = 'refund'").count() < 60
+    assert lines.where("dayofweek(settled_at) in (1, 7)").count() == 0
+    again = G.processor_lines(G.orders(spark, 500, partitions=3))
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, again.collect()))
+    assert G.bank_credits(lines).agg(F.sum("amount")).first() == lines.agg(F.sum(F.col("amount") - F.col("fee") - F.col("tax"))).first()
+    m = spark.createDataFrame([(i, f"l{i}", f"r{i}") for i in range(200)], "k int, l string, r string")
+    got = V.shifted_pairs(m, "k", "l", "r")
+    assert got.where("is_match").count() == 200 and got.where("not is_match and substring(l, 2) = substring(r, 2)").count() == 0
