@@ -9,7 +9,7 @@ from ..functions.money import amount_level
 from ..operators import fs
 from ..operators import matching as M
 from ..operators import views as V
-from ..tables import table
+from ..tables import table, written
 
 QUERIES = {}
 SQL = {}
@@ -29,7 +29,8 @@ def query(sql: str | None = None):
 
 def _views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     lines = V.proc(spark, d)
-    batches = V.batch(lines)
+    # Credits, outcomes and later passes all start from the batches, so the lines are aggregated once.
+    batches = written(V.batch(lines), "batches")
     return lines, batches, V.bank(spark, d, batches), V.ledger(lines)
 
 
