@@ -62,13 +62,18 @@ def reference_keys(recon_record: DataFrame, decomposition: DataFrame, gt_match:
     utr = F.element_at("external_ids", "settlement_utr")
     pay = F.element_at("external_ids", "payment_id")
     month = F.coalesce(F.date_format("value_date", "yyyy-MM"), F.date_format("settled_at", "yyyy-MM"), F.lit("unknown"))
-    out = parent_keys(recon_record, F.col("org_id"), utr, "utr")
-    out = out.unionByName(parent_keys(recon_record.where(F.col("kind") == "payment"), F.col("org_id"), pay, "payment"))
+    # One pass over the records: each gives its settlement key and, by kind, a payment key as parent or as child.
+    kid, none = F.col("kind").isin(CHILD_KINDS), F.lit(None).cast("string")
+    entry = lambda link, key, parent, child: F.struct(
+        F.lit(link).alias("link"), F.col("org_id").alias("scope"), norm_key(key).alias("key"), F.lit(parent).alias("is_parent"),
+        F.lit("recon_record" if child else None).cast("string").alias("ref_table"), (F.col("id") if child else none).alias("row_id"), (month if child else none).alias("period"),
+    )
+    entries = F.array(entry("utr", utr, True, False), F.when(F.col("kind") == "payment", entry("payment", pay, True, False)), F.when(kid, entry("payment", pay, False, True)))
+    out = recon_record.select(F.explode(entries).alias("x")).where("x is not null").select("x.*").where("key is not null")
     for name, df, rid in (("decomposition", decomposition, "group_id"), ("gt_match", gt_match, "group_id"), ("gt_anomaly", gt_anomaly, "id")):
         scoped = df.select("run_id", rid, "settlement_utr").join(runs, "run_id", "left")
         out = out.unionByName(child_keys(scoped, F.col("_org"), F.col("settlement_utr"), "utr", name, F.col(rid), F.coalesce("_period", F.lit("unknown"))))
-    kids = recon_record.where(F.col("kind").isin(CHILD_KINDS))
-    return out.unionByName(child_keys(kids, F.col("org_id"), pay, "payment", "recon_record", F.col("id"), month))
+    return out
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

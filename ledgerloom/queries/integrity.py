@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import references as R
 from ..sources import quarantine as Q
 from ..streaming import late as L
-from ..tables import shared_dir, table
+from ..tables import shared_dir, table, written
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,8 @@ def p3_open_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     names = ["recon_record", "decomposition", "gt_match", "gt_anomaly", "recon_run"]
-    return R.orphans(R.reference_keys(*(table(spark, d, n) for n in names)))
+    # Read twice below, so the wide maps of the records are read once.
+    return R.orphans(written(R.reference_keys(*(table(spark, d, n) for n in names)), "references"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
