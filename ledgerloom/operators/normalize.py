@@ -29,6 +29,9 @@ def normalize(loaded: DataFrame, sources: DataFrame, fx_rate: DataFrame, run_id:
     ``sources`` gives file_hash, source and org_id. Rows without amount, without any date, with an implausible date or
     with a currency that has no rate come out with the reason in ``error``. Foreign amounts are converted half to even
     and keep their original in the external ids. Card numbers in untrusted text are masked and the row is flagged.
+
+    Many files have no id column and all of a run share ``run_id``, so ``id`` is made of tenant, source, entity id and
+    ``content`` (a hash of the row's cells, trimmed, without blanks): rows share an id only if they are equal.
     """
     x = loaded.join(sources.select("file_hash", "source", "org_id"), "file_hash")
     amount_text = F.coalesce(*(_cell(a) for a in AMOUNTS))
@@ -64,10 +67,12 @@ def normalize(loaded: DataFrame, sources: DataFrame, fx_rate: DataFrame, run_id:
     pairs += [(F.lit("fx_orig_currency"), F.when(foreign, F.col("_currency"))), (F.lit("fx_orig_amount_minor"), F.when(foreign, F.col("_amount").cast("string")))]
     external = F.map_filter(F.create_map(*[c for p in pairs for c in p]), lambda k, v: v.isNotNull())
     untrusted = F.map_filter(F.create_map(*[c for n in UNTRUSTED for c in (F.lit(n), R.scrub_cards(_cell(n)))]), lambda k, v: v.isNotNull())
-    identity = F.coalesce(_cell("entity_id"), _cell("id"), F.concat(F.lit("row"), F.col("line_no").cast("string")))
+    identity = F.coalesce(_cell("entity_id"), _cell("id"), F.lit(""))
+    filled = F.filter(F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].alias("k"), F.trim(e["value"]).alias("v"))), lambda e: e["v"] != "")
+    x = x.withColumn("content", F.sha2(F.to_json(F.array_sort(filled)), 256))
     fee = lambda n: F.coalesce(F.when(is_minor, M.already_minor(_cell(n))), F.lit(0)).cast("bigint")
     return x.select(
-        F.substring(F.sha2(F.concat_ws("|", "source", identity, F.lit(run_id)), 256), 1, 16).alias("id"),
+        F.substring(F.sha2(F.concat_ws("|", F.coalesce("org_id", F.lit("")), "source", identity, "content", F.lit(run_id)), 256), 1, 16).alias("id"),
         F.lit(run_id).alias("run_id"),
         "org_id",
         "source",
@@ -88,4 +93,5 @@ def normalize(loaded: DataFrame, sources: DataFrame, fx_rate: DataFrame, run_id:
         F.col("file_hash").alias("ingest_file_hash"),
         error.alias("error"),
         "line_id",
+        "content",
     )

@@ -29,7 +29,8 @@ def run(spark: SparkSession, sf_dir: str, run_id: str = "run-1") -> Run:
     rows = written(Q.classify_rows(table(spark, sf_dir, "raw_line"), files, rates), "rows")
     made = written(normalize(Q.loaded(rows), files, rates, run_id), "records")
     bad = made.where("error is not null").select("line_id", F.col("ingest_file_hash").alias("file_hash"), F.lit(None).cast("int").alias("line_no"), F.col("error").alias("reason"), F.to_json("raw").alias("raw"))
-    records = made.where("error is null").drop("error", "line_id").dropDuplicates(["id"])
+    # A repeat is a row equal in tenant, source and content; its copies differ in file and row number only.
+    records = made.where("error is null").dropDuplicates(["org_id", "source", "content"]).drop("error", "line_id", "content")
     utr = F.element_at("external_ids", "settlement_utr")
     batches = (
         records.where("source = 'processor_recon'")
