@@ -198,19 +198,59 @@ def pool_pass(batches: DataFrame, credits: DataFrame, payments: DataFrame, parti
     return first.groupBy(*partition).applyInPandas(run, schema)
 
 
+def _amount_ranges(amount: Column) -> list[tuple[Column, Column]]:
+    """Smallest and largest net of each amount level or a better one: exact, rounding, tolerance, one percent."""
+    size, sign = F.abs(amount), F.when(amount < 0, -1).otherwise(1)
+    inner = size - F.floor(size * 0.01)
+    guess = F.floor(size / 0.99)
+    fits = lambda n: n - size <= n * 0.01
+    outer = F.greatest(size, *(F.when(fits(guess + i), guess + i) for i in (-2, -1, 0, 1, 2)))
+    near, far = sign * inner, sign * outer
+    wide = F.least(near, far, amount - TOLERANCE), F.greatest(near, far, amount + TOLERANCE)
+    return [(amount, amount), (amount - ROUNDING, amount + ROUNDING), (amount - TOLERANCE, amount + TOLERANCE), wide]
+
+
+def _smallest(df: DataFrame, k: int, *by: str) -> DataFrame:
+    """The ``k`` smallest batch keys of each group; Spark cuts the groups before the shuffle as well."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("batch_key"))).where(F.col("_n") <= k).drop("_n")
+
+
 def fuzzy_top(batches: DataFrame, credits: DataFrame, k: int = 3, scale: float = 0.01) -> DataFrame:
     """The best candidates of each unmatched credit, at most ``k``, scored in bits; proposals, never matches.
 
-    Instead of crossing both sides, batches are looked for in the credit's logarithmic amount bucket and its
-    neighbours: a pair outside scores ``none`` on the amount and would rank below every pair inside.
+    Ranks every batch without crossing both sides. Pairs near in amount (1 % or tolerance) and days are met by slot and
+    day. Of the others only the ``k`` smallest keys can enter, since any ``k`` batches of smaller key that agree as well
+    or better go first: those of each day for batches far in amount, those of the level's range of amounts (put together
+    from ranges of powers of two) for batches far in days, and those of all for batches far in both.
     """
-    slot = lambda c: F.floor(F.log(F.greatest(F.abs(c), F.lit(1))) / scale)
-    c = credits.withColumn("slot", F.explode(F.sequence(slot(F.col("amount")) - 1, slot(F.col("amount")) + 1)))
-    x = c.join(batches.select("batch_key", "net", "settled_at", slot(F.col("net")).alias("slot")), "slot")
-    x = x.where((F.abs(F.col("amount") - F.col("net")) <= F.greatest(F.abs("amount"), F.abs("net")) * 0.01) & (F.signum("amount") == F.signum("net")))
+    c = credits.select("credit_id", "amount", "value_date")
+    b = batches.select("batch_key", "net", "settled_at")
+    slot = lambda v: F.signum(v) * F.floor(F.log(F.greatest(F.abs(v) / F.lit(100.0 * TOLERANCE), F.lit(1.0))) / scale)
+    ranges = _amount_ranges(F.col("amount"))
+    low, high = ranges[-1]
+    days = c.withColumn("settled_at", F.explode(F.transform(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)), lambda i: F.date_add("value_date", i))))
+    slots = days.withColumn("slot", F.explode(F.sequence(slot(low).cast("bigint"), slot(high).cast("bigint"))))
+    near = slots.join(b.withColumn("slot", slot(F.col("net")).cast("bigint")), ["settled_at", "slot"])
+    by_day = days.join(_smallest(b, k, "settled_at"), "settled_at")
+
+    # A range is cut into the largest aligned stretches inside it: at most two of each power of two.
+    longest = c.select(F.max(F.greatest(*(h - w for w, h in ranges)))).first()[0] or 0
+    powers = F.sequence(F.lit(0), F.lit(int(longest + 1).bit_length() - 1))
+    place = lambda v, p: F.floor(v / F.pow(F.lit(2.0), p)).cast("bigint")
+    inside = lambda p: (-place(-F.col("low"), p), place(F.col("high") + 1, p))
+    cuts = c.withColumn("range", F.explode(F.array(*(F.struct(w.cast("bigint").alias("low"), h.cast("bigint").alias("high")) for w, h in ranges))))
+    cuts = cuts.select(*c.columns, "range.*", F.explode(powers).alias("power"))
+    (first, end), (first_up, end_up) = inside(F.col("power")), inside(F.col("power") + 1)
+    cuts = cuts.where(first < end).withColumn("part", F.explode(F.array_distinct(F.array(first, end - 1))))
+    up = place(F.col("part"), F.lit(1))
+    cuts = cuts.where((up < first_up) | (up >= end_up)).select(*c.columns, "power", "part").distinct()
+    parts = _smallest(b.withColumn("power", F.explode(powers)).withColumn("part", place(F.col("net"), F.col("power"))), k, "power", "part")
+    by_amount = cuts.join(parts, ["power", "part"])
+    anywhere = c.crossJoin(F.broadcast(b.orderBy("batch_key").limit(k)))
+
     bits = fs.weight({"amount": amount_level("amount", "net", ROUNDING, TOLERANCE), "date": date_level("value_date", "settled_at", WINDOW)})
-    x = x.select("credit_id", "batch_key", F.round(bits, 3).alias("score_bits"))
-    best = x.groupBy("credit_id", "batch_key").agg(F.max("score_bits").alias("score_bits"))
+    found = [x.select("credit_id", "batch_key", F.round(bits, 3).alias("score_bits")) for x in (near, by_day, by_amount, anywhere)]
+    best = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("credit_id", "batch_key").agg(F.max("score_bits").alias("score_bits"))
     w = Window.partitionBy("credit_id").orderBy(F.desc("score_bits"), "batch_key")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
