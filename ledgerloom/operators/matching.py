@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import bisect
+from collections.abc import Iterable, Iterator
+from itertools import combinations, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from . import fs
 TOLERANCE, ROUNDING, WINDOW, AUTO, REVIEW = 200, 100, 4, 0.90, 0.70
 #: Pools of the aggregate and subset passes and the size up to which subsets are searched exactly.
 BLOCK_POOL, CREDIT_POOL, PAYMENT_POOL, EXACT_ITEMS = 14, 10, 40, 22
+#: Fixed value: steps after which no further swap is looked for.
+SWAP_STEPS = 200_000
 
 
 def by_reference(batches: DataFrame, credits: DataFrame) -> DataFrame:
@@ -111,30 +114,39 @@ def unique_sum(values: list[tuple[str, int]], target: int, tolerance: int, sizes
     return hits[0] if hits else None
 
 
+def _greedy_sum(values: list[tuple[str, int]], target: int, tolerance: int) -> list[str] | None:
+    order, total, steps = sorted(range(len(values)), key=lambda i: -abs(values[i][1])), 0, len(values)
+    chosen: list[int] = []
+    for i in order:
+        if abs(total + values[i][1] - target) <= abs(total - target):
+            chosen.append(i)
+            total += values[i][1]
+    improved = True
+    while improved and steps < SWAP_STEPS:
+        improved = False
+        for i in chosen:
+            base, gap = total - values[i][1] - target, abs(total - target)
+            j = next((j for j, (_, v) in enumerate(values) if abs(base + v) < gap and j not in chosen), None)
+            steps += len(values) if j is None else j + 1
+            if j is not None:
+                chosen.remove(i)
+                chosen.append(j)
+                total = base + target + values[j][1]
+                improved = True
+                break
+    return [values[i][0] for i in sorted(chosen)] if chosen and abs(total - target) <= tolerance else None
+
+
 def subset_sum(values: list[tuple[str, int]], target: int, tolerance: int) -> list[str] | None:
     """The one subset that adds up to ``target`` within tolerance, by meeting in the middle; None if none or several.
 
-    Beyond EXACT_ITEMS values a greedy fill with single swaps is tried instead.
+    Beyond EXACT_ITEMS values a greedy fill is tried instead, then single swaps as long as one closes the gap further.
     """
     n = len(values)
     if n > EXACT_ITEMS:
-        rest, chosen = target, []
-        for k, v in sorted(values, key=lambda x: (-x[1], x[0])):
-            if 0 < v <= rest + tolerance:
-                chosen.append((k, v))
-                rest -= v
-        if abs(rest) <= tolerance and chosen:
-            return [k for k, _ in chosen]
-        out = [x for x in values if x not in chosen]
-        for a in chosen:
-            for b in out:
-                if abs(rest + a[1] - b[1]) <= tolerance:
-                    return sorted(k for k, _ in [*(c for c in chosen if c != a), b])
-        return None
+        return _greedy_sum(values, target, tolerance)
     half = n // 2
     sums = lambda part: [(sum(v for i, (_, v) in enumerate(part) if m >> i & 1), m) for m in range(1 << len(part))]
-    import bisect
-
     right = sorted(sums(values[half:]))
     keys = [s for s, _ in right]
     hits: set[tuple[int, int]] = set()
@@ -152,50 +164,75 @@ def subset_sum(values: list[tuple[str, int]], target: int, tolerance: int) -> li
     return [values[i][0] for i in range(half) if m >> i & 1] + [values[half + i][0] for i in range(n - half) if r >> i & 1]
 
 
+class _Pool:
+    """The first ``size`` items that are left, refilled as some are taken; the sums of its combinations are kept."""
+
+    def __init__(self, items: Iterable[tuple], size: int, sizes: tuple[int, ...] = ()):
+        self.rest, self.size, self.sizes, self.items = iter(items), size, sizes, []
+        self.take([])
+
+    def take(self, keys: list) -> None:
+        self.items = [x for x in self.items if x[0] not in keys]
+        self.items += islice(self.rest, self.size - len(self.items))
+        self.sums = sorted((sum(v for _, v in c), [k for k, _ in c]) for n in self.sizes for c in combinations(self.items, n))
+
+    def unique_sum(self, target: int, tolerance: int) -> tuple[list[str], int] | None:
+        """The one combination within tolerance, with its sum: what ``unique_sum`` finds in the pool."""
+        at = bisect.bisect_left(self.sums, (target - tolerance,))
+        near = [(k, s) for s, k in self.sums[at : at + 2] if s <= target + tolerance]
+        return near[0] if len(near) == 1 else None
+
+
 def pool_pass(batches: DataFrame, credits: DataFrame, payments: DataFrame, partition: list[str], tolerance: int = TOLERANCE) -> DataFrame:
     """Aggregate (several batches in one credit; one batch in several credits) and subset passes, per partition.
 
     Inputs are what the earlier passes left, with the ``partition`` columns: batches (batch_key, net), credits
-    (credit_id, amount), payments (payment_id, amount). Credits are consumed in id order against the pools, which are
-    part of the passes' definition. A partition is meant to be small (a tenant's account and day): its first
-    4 * BLOCK_POOL ids of each kind enter, the rest is what the fuzzy pass is for.
+    (credit_id, amount), payments (payment_id, amount and, if known, batch_key: payments of a batch taken here leave).
+    Every credit and batch is tried in id order against the pools, which are part of the passes' definition and refilled
+    as ids are consumed; a partition (a tenant's account or run) is therefore one sequence and one task.
     """
-    tag = lambda df, kind, key, value: df.select(*partition, F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"))
-    items = tag(batches, "b", "batch_key", "net").unionByName(tag(credits, "c", "credit_id", "amount")).unionByName(tag(payments, "p", "payment_id", "amount"))
+    batch = F.col("batch_key").cast("string") if "batch_key" in payments.columns else F.lit(None).cast("string")
+    tag = lambda df, kind, key, value, of: df.select(*partition, F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"), of.alias("of"))
+    none = F.lit(None).cast("string")
+    items = tag(batches, "b", "batch_key", "net", none).unionByName(tag(credits, "c", "credit_id", "amount", none)).unionByName(tag(payments, "p", "payment_id", "amount", batch))
     schema = ", ".join([*(f"{c} {dict(batches.dtypes)[c]}" for c in partition), "pass string, credits array<string>, members array<string>, residual bigint, confidence double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pick = lambda k: sorted(zip(pdf.loc[pdf.kind == k, "key"], pdf.loc[pdf.kind == k, "value"].astype(int)))
-        b, c, p = pick("b"), pick("c"), pick("p")
+        pick = lambda k: sorted(zip(pdf.loc[pdf.kind == k, "key"], pdf.loc[pdf.kind == k, "value"].astype(int), pdf.loc[pdf.kind == k, "of"]), key=lambda x: x[:2])
+        b, c = ([x[:2] for x in pick(k)] for k in "bc")
         head = [pdf[x].iloc[0] for x in partition]
-        out = []
+        out, gone = [], {"b": set(), "c": set()}
         conf = lambda r: 0.85 if abs(r) <= ROUNDING else 0.78
-        for cid, amount in list(c):
-            hit = unique_sum(b[:BLOCK_POOL], amount, tolerance, (2, 3, 4))
-            if hit:
-                r = amount - sum(v for k, v in b if k in hit)
-                out.append([*head, "aggregate", [cid], hit, r, conf(r)])
-                b = [x for x in b if x[0] not in hit]
-                c.remove((cid, amount))
-        for bid, net in list(b):
-            hit = unique_sum(c[:CREDIT_POOL], net, tolerance, (2, 3))
-            if hit:
-                r = sum(v for k, v in c if k in hit) - net
-                out.append([*head, "split", hit, [bid], r, conf(r)])
-                c = [x for x in c if x[0] not in hit]
-                b.remove((bid, net))
-        for cid, amount in list(c):
-            pool = p[:PAYMENT_POOL]
-            hit = subset_sum(pool, amount, tolerance)
+        pool = _Pool(b, BLOCK_POOL, (2, 3, 4))
+        for cid, amount in c:
+            if hit := pool.unique_sum(amount, tolerance):
+                keys, r = hit[0], amount - hit[1]
+                out.append([*head, "aggregate", [cid], keys, r, conf(r)])
+                pool.take(keys)
+                gone["b"].update(keys)
+                gone["c"].add(cid)
+        pool = _Pool([x for x in c if x[0] not in gone["c"]], CREDIT_POOL, (2, 3))
+        for bid, net in [x for x in b if x[0] not in gone["b"]]:
+            if hit := pool.unique_sum(net, tolerance):
+                keys, r = hit[0], hit[1] - net
+                out.append([*head, "split", keys, [bid], r, conf(r)])
+                pool.take(keys)
+                gone["c"].update(keys)
+                gone["b"].add(bid)
+        # A payment id can stand on several lines: each counts with its own amount, and all leave with their id.
+        p = [x for x in pick("p") if x[2] not in gone["b"]]
+        used: set[str] = set()
+        pool = _Pool(((i, x[1]) for i, x in enumerate(p) if x[0] not in used), PAYMENT_POOL)
+        for cid, amount in [x for x in c if x[0] not in gone["c"]]:
+            hit = subset_sum(pool.items, amount, tolerance)
             if hit:
-                r = amount - sum(v for k, v in pool if k in hit)
-                out.append([*head, "subset", [cid], hit, r, max(AUTO, 0.9) if len(pool) <= EXACT_ITEMS else REVIEW])
-                p = [x for x in p if x[0] not in hit]
+                keys, r = [p[i][0] for i in hit], amount - sum(p[i][1] for i in hit)
+                out.append([*head, "subset", [cid], keys, r, max(AUTO, 0.9) if len(pool.items) <= EXACT_ITEMS else REVIEW])
+                used.update(keys)
+                pool.take([i for i, _ in pool.items if p[i][0] in used])
         return pd.DataFrame(out, columns=[*partition, "pass", "credits", "members", "residual", "confidence"])
 
-    # Only what can enter the pools is shipped: the first ids of each kind, cut on the map side before the shuffle.
-    first = items.withColumn("rank", F.row_number().over(Window.partitionBy(*partition, "kind").orderBy("key"))).where(F.col("rank") <= 4 * BLOCK_POOL).drop("rank")
-    return first.groupBy(*partition).applyInPandas(run, schema)
+    return items.groupBy(*partition).applyInPandas(run, schema)
 
 
 def _amount_ranges(amount: Column) -> list[tuple[Column, Column]]:

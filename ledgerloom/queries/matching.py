@@ -138,12 +138,21 @@ def blocked_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pool_passes(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregate, split and subset passes per settlement day, over what the earlier passes left."""
+    """Aggregate, split and subset passes over what the exact, tolerant and blocked passes left.
+
+    The passes know no dates, and the tables are one tenant's, so the whole run is one partition.
+    """
     lines, b, c, led = _views(spark, d)
-    part = F.date_format("settled_at", "yyyy-MM-dd").alias("part")
-    free = M.outcome(b, c, led).where("outcome = 'no_credit'").select(part, "batch_key", "net")
-    orphan = c.where("utr is null").select(F.date_format("value_date", "yyyy-MM-dd").alias("part"), "credit_id", "amount")
-    pays = lines.where("kind = 'payment'").select(part, "payment_id", "amount").distinct()
+    part = F.lit("run").alias("part")
+    named = written(M.outcome(b, c, led).select("batch_key", "net", "settled_at", "outcome"), "outcomes")
+    free, orphan = named.where("outcome = 'no_credit'"), c.where("utr is null")
+    pairs = M.blocked_confidence(M.amount_band_pairs(free, orphan)).where(F.col("confidence") >= M.REVIEW)
+    blocked = M.greedy(pairs, ["gap", "value_date"], "batch_key", "credit_id")
+    done = named.where("outcome in ('exact', 'tolerant')").select("batch_key").unionByName(blocked.select("batch_key"))
+    free = free.join(blocked, "batch_key", "left_anti").select(part, "batch_key", "net")
+    orphan = orphan.join(blocked, "credit_id", "left_anti").select(part, "credit_id", "amount")
+    net = (F.col("amount") - F.col("fee") - F.col("tax")).alias("amount")
+    pays = lines.where("kind = 'payment'").join(done, "batch_key", "left_anti").select(part, "payment_id", "batch_key", net).distinct()
     return M.pool_pass(free, orphan, pays, ["part"])
 
 

@@ -1,4 +1,4 @@
-"""Fuzzy candidates against the full cross product."""
+"""Fuzzy candidates against the full cross product; pool passes over long partitions."""
 
 from __future__ import annotations
 
@@ -44,3 +44,47 @@ def test_fuzzy_equals_cross_product(spark):
     assert key(M.fuzzy_top(b, c)) == key(x)
     assert M.fuzzy_top(b, c.limit(0)).count() == 0
     assert M.fuzzy_top(b.limit(0), c).count() == 0
+
+
+def pool_run(spark, batches, credits, payments):
+    b = spark.createDataFrame([("r", k, v) for k, v in batches], "part string, batch_key bigint, net bigint")
+    c = spark.createDataFrame([("r", k, v) for k, v in credits], "part string, credit_id string, amount bigint")
+    p = spark.createDataFrame([("r", *x) for x in payments], "part string, payment_id string, batch_key bigint, amount bigint")
+    return [(r["pass"], r["credits"], sorted(r["members"]), r["residual"]) for r in M.pool_pass(b, c, p, ["part"]).collect()]
+
+
+def test_pools_refill_until_every_id_is_tried(spark):
+    # 80 batches, each pair paid by one credit; 100 credits that fit nothing come first.
+    batches = [(1000 + k, 1_000_000 + 7**6 * k * k) for k in range(80)]
+    idle = [(f"a{k:03}", 10**12 + 10**6 * k) for k in range(100)]
+    paid = [(f"b{k:03}", batches[2 * k][1] + batches[2 * k + 1][1]) for k in range(40)]
+    got = pool_run(spark, batches, idle + paid, [])
+    assert got == [("aggregate", [c], [str(1000 + 2 * k), str(1001 + 2 * k)], 0) for k, (c, _) in enumerate(paid)]
+
+
+def test_subsets_beyond_the_first_payments(spark):
+    payments = [(f"p{k:03}", None, 10**6 + 1000 * k) for k in range(100)]
+    credits = [(f"c{k:03}", v) for k, (_, _, v) in enumerate(payments)]
+    got = pool_run(spark, [], credits, payments)
+    assert got == [("subset", [f"c{k:03}"], [f"p{k:03}"], 0) for k in range(100)]
+
+
+def test_payments_of_taken_batches_leave(spark):
+    got = pool_run(spark, [(1, 3000), (2, 5000)], [("c1", 8000), ("c2", 3000)], [("p1", 1, 3000), ("p2", 9, 70000)])
+    assert got == [("aggregate", ["c1"], ["1", "2"], 0)]
+
+
+def test_lines_of_one_payment_id(spark):
+    got = pool_run(spark, [], [("c1", 3000), ("c2", 9000)], [("p1", 1, 3000), ("p1", 1, 9000), ("p2", 1, 50000)])
+    assert got == [("subset", ["c1"], ["p1"], 0)]
+
+
+def test_pool_passes_leave_matched_ids_alone(spark, sf):
+    from ledgerloom import queries as core
+
+    q = core.queries()
+    rows = q["pool_passes"](spark, sf).collect()
+    taken = {r["credit_id"] for r in q["blocked_greedy"](spark, sf).collect()}
+    assert not taken & {c for r in rows for c in r["credits"]}
+    matched = {str(r["batch_key"]) for r in q["utr_match_outcome"](spark, sf).where("outcome in ('exact', 'tolerant')").collect()}
+    assert not matched & {m.split("_")[1] for r in rows if r["pass"] == "subset" for m in r["members"]}
