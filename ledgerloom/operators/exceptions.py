@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import direction, impact_band
+from ..functions.refs import injection_index
 from .matching import ROUNDING, TOLERANCE
+from .rules import Rule, first_match
 
-COLUMNS = ["exception_id", "producer", "subject", "category", "classified_by", "impact", "confidence"]
+COLUMNS = ["exception_id", "producer", "subject", "batch_key", "category", "classified_by", "impact", "confidence"]
 
 
 def exception_id(producer: Column, subject: Column) -> Column:
@@ -21,6 +23,7 @@ def _made(df: DataFrame, producer: str, subject: str, category: Column | str, by
         exception_id(F.lit(producer), F.col(subject)).alias("exception_id"),
         F.lit(producer).alias("producer"),
         F.col(subject).cast("string").alias("subject"),
+        (F.col("batch_key") if "batch_key" in df.columns else F.lit(None)).cast("bigint").alias("batch_key"),
         col(category).cast("string").alias("category"),
         col(by).cast("string").alias("classified_by"),
         impact.cast("bigint").alias("impact"),
@@ -43,47 +46,83 @@ def ladder(residual: Column, fees: Column, ledger_ok: Column, has_fx: Column, ex
     return category, rule, conf
 
 
-def residuals(outcomes: DataFrame) -> DataFrame:
-    """Batches whose credit does not tie within rounding."""
-    x = outcomes.where("credit_id is not null").where(F.abs("residual") > ROUNDING)
-    category, rule, conf = ladder(F.col("residual"), F.col("mdr") + F.col("gst"), F.col("ledger_ok"), F.lit(False), F.col("net"))
-    return _made(x, "residual", "batch_key", category, rule, F.col("residual"), conf)
+def security(lines: DataFrame) -> DataFrame:
+    """Lines whose free text tries to give instructions; they come before everything else."""
+    x = lines.where(injection_index("memo").isNotNull()).groupBy("payment_id").agg(F.max(F.abs("amount")).alias("amount"), F.min("batch_key").alias("batch_key"))
+    return _made(x, "security", "payment_id", "SECURITY_REVIEW", "rule:r_security_scan", F.col("amount"), 1.0)
 
 
-def ledger_breaks(outcomes: DataFrame) -> DataFrame:
-    x = outcomes.where("outcome in ('exact', 'tolerant') and not ledger_ok")
-    return _made(x, "ledger", "batch_key", "PARTIAL_PAYMENT", "unclassified", F.when(F.col("residual") != 0, F.col("residual")).otherwise(-1), 0.6)
+def _residual(x: DataFrame, residual: str, rules: list[Rule]) -> DataFrame:
+    """Classified by the first of ``rules`` that holds, else by the ladder."""
+    x = x.withColumns({"residual_minor": F.col(residual), "expected_minor": F.col("net"), "fees_minor": F.col("mdr") + F.col("gst"), "ledger_crosscheck_ok": F.col("ledger_ok")})
+    ruled, rule_id = first_match(rules, set(x.columns))
+    category, rule, conf = ladder(F.col(residual), F.col("fees_minor"), F.col("ledger_ok"), F.col("has_fx"), F.col("net"))
+    by = F.when(ruled.isNotNull(), F.concat(F.lit("rule:"), rule_id)).otherwise(rule)
+    conf = F.when(ruled.isNotNull(), F.when(ruled != "UNEXPLAINED", 0.9)).otherwise(conf)
+    return _made(x, "residual", "batch_key", F.coalesce(ruled, category), by, F.col(residual), conf)
 
 
-def duplicates(outcomes: DataFrame) -> DataFrame:
-    """Unmatched batches in which a payment id repeats."""
-    return _made(outcomes.where("outcome in ('no_credit', 'out_of_tolerance') and dup"), "duplicate", "batch_key", "DUPLICATE", "rule:repeated_payment", F.col("net"), 0.9)
+def residuals(batches: DataFrame, rules: list[Rule] = ()) -> DataFrame:
+    """Matched batches off by more than rounding; open batches (without a repeated payment) whose credit is too far off."""
+    tied = batches.where("match_pass is not null").where(F.abs("tied") > ROUNDING)
+    far = batches.where("match_pass is null and not dup and credit_id is not null")
+    return _residual(tied, "tied", list(rules)).unionByName(_residual(far, "residual", list(rules)))
 
 
-def missing_credits(outcomes: DataFrame, period_end: str) -> DataFrame:
-    """Batches without a credit: timing when settled after the period or in its first three days, else wrong account."""
+def ledger_breaks(batches: DataFrame) -> DataFrame:
+    """Matched batches that tie but whose ledger total does not agree."""
+    x = batches.where(f"match_pass is not null and not ledger_ok and abs(tied) <= {ROUNDING}")
+    return _made(x, "ledger", "batch_key", "PARTIAL_PAYMENT", "unclassified", F.when(F.col("tied") != 0, F.col("tied")).otherwise(-1), None)
+
+
+def chargebacks(batches: DataFrame) -> DataFrame:
+    """Matched batches with disputed lines."""
+    return _made(batches.where("match_pass is not null and disputed > 0"), "chargeback", "batch_key", "CHARGEBACK", "rule:r_chargeback", F.col("disputed"), 0.85)
+
+
+def duplicates(batches: DataFrame) -> DataFrame:
+    """Open batches in which a payment id repeats; nothing else is said of them."""
+    return _made(batches.where("match_pass is null and dup"), "duplicate", "batch_key", "DUPLICATE", "rule:repeated_payment", F.abs("net"), 0.9)
+
+
+def missing_credits(batches: DataFrame, period_end: str) -> DataFrame:
+    """Open batches without a credit: timing when settled after the period or in its first three days, else wrong account."""
     late = (F.col("settled_at") > F.lit(period_end).cast("date")) | (F.dayofmonth("settled_at") <= 3)
-    return _made(outcomes.where("outcome = 'no_credit'"), "missing", "batch_key", F.when(late, "TIMING").otherwise("WRONG_ACCOUNT"), "rule:no_credit", -F.col("net"), 0.7)
+    return _made(batches.where("match_pass is null and not dup and credit_id is null"), "missing", "batch_key", F.when(late, "TIMING").otherwise("WRONG_ACCOUNT"), "rule:no_credit", F.abs("net"), 0.7)
 
 
-def orphan_credits(credits: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Credits without a reference: missing reference where one ties an unmatched net within rounding, else unexplained.
+def orphan_credits(credits: DataFrame, batches: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Unmatched credits without a batch of theirs: missing reference where one ties an open net within rounding, timing
+    where one settles a batch that an earlier run left open, else unexplained.
 
-    The existence test is an equi-join on amount buckets of one rounding unit.
+    The existence tests are equi-joins on amount buckets of one rounding unit.
     """
-    free = outcomes.where("outcome = 'no_credit'").select("net", F.explode(F.sequence(F.floor(F.col("net") / ROUNDING) - 1, F.floor(F.col("net") / ROUNDING) + 1)).alias("slot"))
-    own = credits.where("utr is null").withColumn("slot", F.floor(F.col("amount") / ROUNDING))
+    around = lambda v: F.explode(F.sequence(F.floor(v / ROUNDING) - 1, F.floor(v / ROUNDING) + 1))
+    free = batches.where("match_pass is null").select("net", around(F.col("net")).alias("slot"))
+    own = credits.where("match_pass is null and not keyed").select("credit_id", "utr", "amount").withColumn("slot", F.floor(F.col("amount") / ROUNDING))
     ties = own.join(free, own["slot"] == free["slot"]).where(F.abs(F.col("amount") - F.col("net")) <= ROUNDING).select("credit_id").distinct().withColumn("ties", F.lit(True))
-    x = own.join(ties, "credit_id", "left")
-    return _made(x, "orphan", "credit_id", F.when(F.col("ties"), "MISSING_UTR").otherwise("UNEXPLAINED"), F.when(F.col("ties"), "rule:amount_ties").otherwise("unclassified"), F.col("amount"), F.when(F.col("ties"), 0.7))
+    x = own.drop("slot").join(ties, "credit_id", "left")
+    if prior is not None:
+        held = carry_forward(own.select("credit_id", F.col("utr").cast("string").alias("utr"), "amount"), prior, ROUNDING).select("credit_id", F.lit(True).alias("carried"))
+        x = x.join(held, "credit_id", "left")
+    else:
+        x = x.withColumn("carried", F.lit(None).cast("boolean"))
+    pick = lambda a, b, c: F.when(F.col("ties"), a).when(F.col("carried"), b).otherwise(c)
+    return _made(x, "orphan", "credit_id", pick("MISSING_UTR", "TIMING", "UNEXPLAINED"), pick("rule:amount_ties", "rule:r_cross_period", "unclassified"), F.abs("amount"), pick(0.7, 0.75, None))
 
 
 def unmapped_orders(payments: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Payments whose order the ledger does not have."""
-    x = payments.join(ledger.select("order_id").distinct(), "order_id", "left_anti")
+    """Payments (payment_id, order_id, amount, perhaps batch_key) whose order the ledger does not have; one per id."""
+    keep = [F.min("batch_key").alias("batch_key")] if "batch_key" in payments.columns else []
+    x = payments.join(ledger.select("order_id").distinct(), "order_id", "left_anti").groupBy("payment_id").agg(F.max(F.abs("amount")).alias("amount"), *keep)
     return _made(x, "unmapped", "payment_id", "UNEXPLAINED", "unclassified", F.col("amount"), None)
 
 
+def linked_credits(exceptions: DataFrame, credits: DataFrame) -> DataFrame:
+    """(exception_id, credit_id): the credits that came in under the reference of an exception's batch."""
+    return exceptions.where("batch_key is not null").select("exception_id", F.col("batch_key").alias("utr")).join(credits.where("utr is not null").select("utr", "credit_id"), "utr").select("exception_id", "credit_id")
+
+
 def register(parts: list[DataFrame]) -> DataFrame:
     """All producers' exceptions; of one id the first producer's in the given order, then by impact."""
     all_ = None
@@ -110,18 +149,21 @@ def clusters(exceptions: DataFrame) -> DataFrame:
     ).select("category", "rule_id", "direction", "band", "count", "gross_impact", "net_impact", F.col("e.exception_id").alias("example_id"))
 
 
-#: Which bucket of the cash view a batch with an exception of this category falls in, by severity.
-SEVERITY = {"UNEXPLAINED": 3, "DUPLICATE": 2, "WRONG_ACCOUNT": 2, "PARTIAL_PAYMENT": 2, "FEE_DEDUCTION": 2, "TIMING": 1, "ROUNDING": 0}
+#: Categories that hold a batch's money back, and their rank among all (others rank like UNEXPLAINED).
+HELD = ["CHARGEBACK", "WRONG_ACCOUNT", "PARTIAL_PAYMENT", "DUPLICATE", "MISSING_UTR", "SECURITY_REVIEW"]
 
 
-def cash_position(outcomes: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Net per bucket: in transit, held, unexplained, confirmed; the buckets add up to the net of all batches."""
-    level = F.lit(3)
-    for name, v in SEVERITY.items():
-        level = F.when(F.col("category") == name, v).otherwise(level)
-    worst = exceptions.where(F.col("producer").isin("residual", "ledger", "duplicate", "missing")).groupBy("subject").agg(F.max(level).alias("severity"))
-    x = outcomes.select(F.col("batch_key").cast("string").alias("subject"), "net", "outcome").join(worst, "subject", "left")
-    bucket = F.when(F.col("severity") >= 3, "unexplained").when(F.col("severity") == 2, "held").when(F.col("severity") == 1, "in_transit").when(F.col("outcome").isin("exact", "tolerant"), "confirmed").otherwise("unexplained")
+def cash_position(batches: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Net per bucket: in transit, held, unexplained, confirmed; the buckets add up to the net of all batches.
+
+    A batch goes by its gravest exception (ties: larger impact, then id). Without one that places it, it is confirmed
+    if it ties within rounding and the ledger agrees.
+    """
+    rank = F.when(F.col("category").isin(HELD), 3).when(F.col("category") == "TIMING", 1).otherwise(2)
+    worst = exceptions.where("batch_key is not null").groupBy("batch_key").agg(F.min(F.struct((-rank).alias("r"), (-F.abs("impact")).alias("i"), "exception_id", "category")).alias("w"))
+    x = batches.join(worst.select("batch_key", F.col("w.category").alias("category")), "batch_key", "left")
+    clean = F.coalesce(F.abs(F.coalesce("tied", "residual")) <= ROUNDING, F.lit(False)) & F.col("ledger_ok")
+    bucket = F.when(F.col("category") == "TIMING", "in_transit").when(F.col("category").isin(HELD), "held").when((F.col("category") == "UNEXPLAINED") | ~clean, "unexplained").otherwise("confirmed")
     return x.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("batches"), F.sum("net").alias("net"))
 
 

@@ -48,7 +48,7 @@ def outcome(batches: DataFrame, credits: DataFrame, ledger: DataFrame) -> DataFr
     return x.withColumn("outcome", kind)
 
 
-def tolerant_confidence(tied: DataFrame, prior: float) -> DataFrame:
+def tolerant_confidence(tied: DataFrame, prior: Column | float) -> DataFrame:
     """Weight in bits and posterior of tied batches: amount and date levels, reference and id link agree."""
     levels = {"amount": amount_level("amount", "net", ROUNDING, TOLERANCE), "date": date_level("value_date", "settled_at", WINDOW), "reference": F.lit("exact"), "idlink": F.lit("shared")}
     w = fs.weight(levels)
@@ -63,7 +63,7 @@ def amount_band_pairs(batches: DataFrame, credits: DataFrame, tolerance: int = T
     Buckets are one tolerance wide; the smaller row of each pair looks into its own bucket and both neighbours, so no
     pair is lost and the join stays an equi-join.
     """
-    near = batches.select("batch_key", "net", "settled_at", F.explode(F.sequence(F.floor(F.col("net") / tolerance) - 1, F.floor(F.col("net") / tolerance) + 1)).alias("slot"))
+    near = batches.select(*batches.columns, F.explode(F.sequence(F.floor(F.col("net") / tolerance) - 1, F.floor(F.col("net") / tolerance) + 1)).alias("slot"))
     cand = credits.select("credit_id", "amount", "value_date", F.floor(F.col("amount") / tolerance).alias("slot"))
     x = near.join(cand, "slot").drop("slot").withColumn("gap", F.abs(F.col("amount") - F.col("net"))).where(F.col("gap") <= tolerance)
     days = F.abs(F.datediff("value_date", "settled_at"))
@@ -71,34 +71,40 @@ def amount_band_pairs(batches: DataFrame, credits: DataFrame, tolerance: int = T
 
 
 def blocked_confidence(pairs: DataFrame, rounding: int = ROUNDING) -> DataFrame:
-    """Confidence of a pair from its date level and gap; capped when the two best gaps of the batch are too close."""
+    """Confidence of a pair from its date level and gap; capped when the two best gaps of the batch are too close.
+
+    Where the pairs tell that the ledger contradicts the batch (``ledger_ok``), it is capped at the review threshold.
+    """
     w = Window.partitionBy("batch_key").orderBy("gap", "credit_id")
     x = pairs.withColumn("rank", F.row_number().over(w)).withColumn("next_gap", F.lead("gap").over(w))
     unclear = F.max(F.when((F.col("rank") == 1) & (F.col("next_gap") - F.col("gap") <= rounding), 1).otherwise(0)).over(Window.partitionBy("batch_key")) == 1
     base = F.when(F.col("days") == 0, 0.94).when(F.col("days") <= 1, 0.90).when(F.col("days") <= WINDOW, 0.85).otherwise(0.80)
     conf = base - F.when(F.col("gap") > rounding, 0.1).otherwise(0.0)
     conf = F.when(unclear, F.least(conf, F.lit(REVIEW - 0.01))).otherwise(conf)
-    return x.withColumn("confidence", F.round(conf, 4)).drop("rank", "next_gap")
+    if "ledger_ok" in pairs.columns:
+        conf = F.when(F.col("ledger_ok"), conf).otherwise(F.least(conf, F.lit(REVIEW)))
+    level = F.when(F.col("days") == 0, 0).when(F.col("days") <= 1, 1).when(F.col("days") <= WINDOW, 2).otherwise(3)
+    return x.withColumns({"confidence": F.round(conf, 4), "level": level}).drop("rank", "next_gap")
 
 
-def greedy(pairs: DataFrame, order: list[str], left: str, right: str) -> DataFrame:
-    """Greedy one-to-one assignment in the total order (``order``, right, left), in rounds of mutual minima.
+def greedy(pairs: DataFrame, order: list[str], left: str, right: str, keep: list[str] = ()) -> DataFrame:
+    """Greedy one-to-one assignment in the total order (``order``, right, left as text), in rounds of mutual minima.
 
     A pair that is the first choice of both its ends is what the sequential greedy would take; both ends then leave.
     Rounds end when no pair is left; each round is written out, so a lost executor costs one round at most.
     """
-    key = F.struct(*order, right, left)
-    rest = cut(pairs.select(left, right, *order, key.alias("_key")))
+    key = F.struct(*order, right, F.col(left).cast("string").alias("_text"), left)
+    rest = cut(pairs.select(left, right, *order, *keep, key.alias("_key")))
     taken: DataFrame | None = None
     while True:
         lmin = rest.groupBy(left).agg(F.min("_key").alias("_l"))
         rmin = rest.groupBy(right).agg(F.min("_key").alias("_r"))
-        now = cut(rest.join(lmin, left).join(rmin, right).where("_key = _l and _key = _r").select(left, right, *order))
+        now = cut(rest.join(lmin, left).join(rmin, right).where("_key = _l and _key = _r").select(left, right, *order, *keep))
         if now.isEmpty():
             break
         taken = now if taken is None else taken.unionByName(now)
         rest = cut(rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
-    return taken if taken is not None else rest.select(left, right, *order).limit(0)
+    return taken if taken is not None else rest.select(left, right, *order, *keep).limit(0)
 
 
 def unique_sum(values: list[tuple[str, int]], target: int, tolerance: int, sizes: tuple[int, ...]) -> list[str] | None:
@@ -249,26 +255,30 @@ def _amount_ranges(amount: Column) -> list[tuple[Column, Column]]:
 
 def _smallest(df: DataFrame, k: int, *by: str) -> DataFrame:
     """The ``k`` smallest batch keys of each group; Spark cuts the groups before the shuffle as well."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("batch_key"))).where(F.col("_n") <= k).drop("_n")
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("batch_key").cast("string")))).where(F.col("_n") <= k).drop("_n")
 
 
 def fuzzy_top(batches: DataFrame, credits: DataFrame, k: int = 3, scale: float = 0.01) -> DataFrame:
     """The best candidates of each unmatched credit, at most ``k``, scored in bits; proposals, never matches.
 
-    Ranks every batch without crossing both sides. Pairs near in amount (1 % or tolerance) and days are met by slot and
-    day. Of the others only the ``k`` smallest keys can enter, since any ``k`` batches of smaller key that agree as well
-    or better go first: those of each day for batches far in amount, those of the level's range of amounts (put together
-    from ranges of powers of two) for batches far in days, and those of all for batches far in both.
+    The credits have no reference that names a batch, so reference and id link count as ``none``; with a ``party`` on
+    both sides, one bit more goes to batches of the credit's party. Every batch is ranked without crossing both sides.
+    Pairs near in amount (1 % or tolerance) and days are met by slot and day. Of the others only the ``k`` smallest keys
+    can enter, since any ``k`` batches of smaller key that agree as well or better go first: those of each day for
+    batches far in amount, those of the level's range of amounts (put together from ranges of powers of two) for
+    batches far in days, and those of all for batches far in both; the same once more within the credit's party.
     """
-    c = credits.select("credit_id", "amount", "value_date")
-    b = batches.select("batch_key", "net", "settled_at")
+    by_party = "party" in batches.columns and "party" in credits.columns
+    who = ["party"] if by_party else []
+    c = credits.select("credit_id", "amount", "value_date", *who)
+    b = batches.select("batch_key", "net", "settled_at", *who)
     slot = lambda v: F.signum(v) * F.floor(F.log(F.greatest(F.abs(v) / F.lit(100.0 * TOLERANCE), F.lit(1.0))) / scale)
     ranges = _amount_ranges(F.col("amount"))
     low, high = ranges[-1]
     days = c.withColumn("settled_at", F.explode(F.transform(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)), lambda i: F.date_add("value_date", i))))
     slots = days.withColumn("slot", F.explode(F.sequence(slot(low).cast("bigint"), slot(high).cast("bigint"))))
-    near = slots.join(b.withColumn("slot", slot(F.col("net")).cast("bigint")), ["settled_at", "slot"])
-    by_day = days.join(_smallest(b, k, "settled_at"), "settled_at")
+    theirs = b.withColumnRenamed("party", "b_party") if by_party else b
+    near = slots.join(theirs.withColumn("slot", slot(F.col("net")).cast("bigint")), ["settled_at", "slot"])
 
     # A range is cut into the largest aligned stretches inside it: at most two of each power of two.
     longest = c.select(F.max(F.greatest(*(h - w for w, h in ranges)))).first()[0] or 0
@@ -281,14 +291,24 @@ def fuzzy_top(batches: DataFrame, credits: DataFrame, k: int = 3, scale: float =
     cuts = cuts.where(first < end).withColumn("part", F.explode(F.array_distinct(F.array(first, end - 1))))
     up = place(F.col("part"), F.lit(1))
     cuts = cuts.where((up < first_up) | (up >= end_up)).select(*c.columns, "power", "part").distinct()
-    parts = _smallest(b.withColumn("power", F.explode(powers)).withColumn("part", place(F.col("net"), F.col("power"))), k, "power", "part")
-    by_amount = cuts.join(parts, ["power", "part"])
-    anywhere = c.crossJoin(F.broadcast(b.orderBy("batch_key").limit(k)))
-
-    bits = fs.weight({"amount": amount_level("amount", "net", ROUNDING, TOLERANCE), "date": date_level("value_date", "settled_at", WINDOW)})
-    found = [x.select("credit_id", "batch_key", F.round(bits, 3).alias("score_bits")) for x in (near, by_day, by_amount, anywhere)]
-    best = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("credit_id", "batch_key").agg(F.max("score_bits").alias("score_bits"))
-    w = Window.partitionBy("credit_id").orderBy(F.desc("score_bits"), "batch_key")
+    placed = b.withColumn("power", F.explode(powers)).withColumn("part", place(F.col("net"), F.col("power")))
+
+    bits = fs.weight({"amount": amount_level("amount", "net", ROUNDING, TOLERANCE), "date": date_level("value_date", "settled_at", WINDOW), "reference": F.lit("none"), "idlink": F.lit("none")})
+    same = F.when(F.col("party") == F.col("b_party"), 1.0).otherwise(0.0) if by_party else F.lit(0.0)
+    score = F.round(bits + same, 3).alias("score_bits")
+    other = lambda df: df.withColumnRenamed("party", "b_party") if by_party else df
+    own = lambda df: df.withColumn("b_party", F.col("party"))
+    found = [near, days.join(other(_smallest(b, k, "settled_at")), "settled_at"), cuts.join(other(_smallest(placed, k, "power", "part")), ["power", "part"])]
+    found.append(c.crossJoin(F.broadcast(other(b.orderBy(F.col("batch_key").cast("string")).limit(k)))))
+    if by_party:
+        found += [own(days.join(_smallest(b, k, "settled_at", "party"), ["settled_at", "party"]))]
+        found += [own(cuts.join(_smallest(placed, k, "power", "part", "party"), ["power", "part", "party"])), own(c.join(_smallest(b, k, "party"), "party"))]
+    scored = [x.select("credit_id", "batch_key", score) for x in found]
+    best = scored[0]
+    for x in scored[1:]:
+        best = best.unionByName(x)
+    best = best.groupBy("credit_id", "batch_key").agg(F.max("score_bits").alias("score_bits"))
+    w = Window.partitionBy("credit_id").orderBy(F.desc("score_bits"), F.col("batch_key").cast("string"))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions.money import COUNT_EDGES, RESIDUAL_EDGES
+from ..operators import cascade as C
 from ..operators import events as E
 from ..operators import exceptions as X
 from ..operators import learning as L
 from ..operators import matching as M
 from ..operators import memory as Y
+from ..operators import views as V
 from ..operators.rules import Rule, first_match
 from ..tables import table, written
-from .matching import _OUTCOME, _views
+from .matching import _CASCADE, POOLS_SQL, cascade
 
 QUERIES = {}
 SQL = {}
+#: SQL of the queries over the whole cascade, with ``{pools}`` open.
+POOLED = {}
 PERIOD_END = "1998-11-30"
 RULES = [
     Rule("small", "abs(residual_minor) <= 100 and not is_empty(settlement_utr)", "ROUNDING"),
@@ -37,89 +41,125 @@ def query(sql: str | None = None):
     return keep
 
 
-def _outcomes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and credits, written once: every producer of exceptions reads them."""
-    _, b, c, led = _views(spark, d)
-    c = written(c, "credits")
-    return written(M.outcome(b, c, led), "outcomes"), c
+#: What a spec might say before the built-in ladder: an agreed bank charge.
+SPEC_RULES = [Rule("r_bank_charge", "residual_minor == 150 and ledger_crosscheck_ok == True", "FEE_DEDUCTION")]
 
 
-def _register(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    out, credits = _outcomes(spark, d)
-    return out, X.register([X.residuals(out), X.ledger_breaks(out), X.duplicates(out), X.missing_credits(out, PERIOD_END), X.orphan_credits(credits, out)])
+def _register(spark: SparkSession, d: str, pools: bool = True) -> tuple[C.Cascade, DataFrame]:
+    """The cascade and its exceptions, each written once: the read models below read them several times."""
+    lines = V.proc(spark, d)
+    done = cascade(spark, d, pools)
+    taken = done.batches.where("match_pass is not null and match_pass <> 'subset'").select("batch_key")
+    pays = lines.where("kind = 'payment'").join(taken, "batch_key", "left_anti").join(done.payments, "payment_id", "left_anti")
+    orders = table(spark, d, "orders").where("o_orderkey % 23 <> 0").select(F.col("o_orderkey").alias("order_id"))
+    b = done.batches
+    parts = [X.security(lines), X.residuals(b, SPEC_RULES), X.ledger_breaks(b), X.chargebacks(b), X.duplicates(b), X.missing_credits(b, PERIOD_END)]
+    parts += [X.orphan_credits(done.credits, b, V.prior(spark, d)), X.unmapped_orders(pays.withColumn("order_id", F.col("batch_key")), orders)]
+    return done, written(X.register(parts), "register")
 
 
 _ID = "'exc_' || substr(sha256({p} || '|' || {s}), 1, 12)"
-_REGISTER = f"""{_OUTCOME},
-res as (select batch_key, residual, mdr + gst as fees, ledger_ok from named where credit_id is not null and abs(residual) > 100),
+_REGISTER = f"""{_CASCADE},
+res as (
+  select batch_key, tied as residual, mdr + gst as fees, ledger_ok, has_fx, net from closed where match_pass is not null and abs(tied) > 100
+  union all select batch_key, residual, mdr + gst, ledger_ok, has_fx, net from closed where match_pass is null and not dup and credit_id is not null),
+step as (select *, case when residual = 150 and ledger_ok then 0 when has_fx and abs(residual) <= abs(net) * 0.02 then 1 when not ledger_ok then 2 when abs(residual) <= greatest(fees, 1) * 0.25 then 3 else 4 end as s from res),
+open_payment as (select payment_id, batch_key, amount from proc where kind = 'payment' and batch_key not in (select batch_key from closed where match_pass is not null and match_pass <> 'subset') and payment_id not in (select payment_id from pool_payment)),
 parts as (
-  select 0 as at, 'residual' as producer, cast(batch_key as varchar) as subject,
-    case when not ledger_ok then 'PARTIAL_PAYMENT' when abs(residual) <= greatest(fees, 1) * 0.25 then 'FEE_DEDUCTION' else 'UNEXPLAINED' end as category,
-    case when not ledger_ok then 'unclassified' when abs(residual) <= greatest(fees, 1) * 0.25 then 'rule:fee_drift' else 'unclassified' end as classified_by,
-    residual as impact, case when not ledger_ok then 0.6 when abs(residual) <= greatest(fees, 1) * 0.25 then 0.7 end::double as confidence from res
-  union all select 1, 'ledger', cast(batch_key as varchar), 'PARTIAL_PAYMENT', 'unclassified', case when residual <> 0 then residual else -1 end, 0.6 from named where outcome in ('exact', 'tolerant') and not ledger_ok
-  union all select 2, 'duplicate', cast(batch_key as varchar), 'DUPLICATE', 'rule:repeated_payment', net, 0.9 from named where outcome in ('no_credit', 'out_of_tolerance') and dup
-  union all select 3, 'missing', cast(batch_key as varchar), case when settled_at > date '{PERIOD_END}' or day(settled_at) <= 3 then 'TIMING' else 'WRONG_ACCOUNT' end, 'rule:no_credit', -net, 0.7 from named where outcome = 'no_credit'
-  union all select 4, 'orphan', credit_id, case when ties then 'MISSING_UTR' else 'UNEXPLAINED' end, case when ties then 'rule:amount_ties' else 'unclassified' end, amount, case when ties then 0.7 end from (
-    select c.*, exists (select 1 from named b where b.outcome = 'no_credit' and b.net between c.amount - 100 and c.amount + 100) as ties from bank c where utr is null)),
-register as (select {_ID.format(p='producer', s='subject')} as exception_id, producer, subject, category, classified_by, cast(impact as bigint) as impact, confidence from parts)
+  select 'security' as producer, payment_id as subject, min(batch_key) as batch_key, 'SECURITY_REVIEW' as category, 'rule:r_security_scan' as classified_by, max(abs(amount)) as impact, 1.0::double as confidence
+    from proc where memo like 'ignore all previous instructions%' group by payment_id
+  union all select 'residual', cast(batch_key as varchar), batch_key, ['FEE_DEDUCTION', 'FX_DIFFERENCE', 'PARTIAL_PAYMENT', 'FEE_DEDUCTION', 'UNEXPLAINED'][s + 1],
+    ['rule:r_bank_charge', 'rule:fx_spread', 'unclassified', 'rule:fee_drift', 'unclassified'][s + 1], residual, [0.9, 0.75, 0.6, 0.7, null][s + 1] from step
+  union all select 'ledger', cast(batch_key as varchar), batch_key, 'PARTIAL_PAYMENT', 'unclassified', case when tied <> 0 then tied else -1 end, null from closed where match_pass is not null and not ledger_ok and abs(tied) <= 100
+  union all select 'chargeback', cast(batch_key as varchar), batch_key, 'CHARGEBACK', 'rule:r_chargeback', disputed, 0.85 from closed where match_pass is not null and disputed > 0
+  union all select 'duplicate', cast(batch_key as varchar), batch_key, 'DUPLICATE', 'rule:repeated_payment', abs(net), 0.9 from closed where match_pass is null and dup
+  union all select 'missing', cast(batch_key as varchar), batch_key, case when settled_at > date '{PERIOD_END}' or day(settled_at) <= 3 then 'TIMING' else 'WRONG_ACCOUNT' end, 'rule:no_credit', abs(net), 0.7 from closed where match_pass is null and not dup and credit_id is null
+  union all select 'orphan', credit_id, null, case when ties then 'MISSING_UTR' when carried then 'TIMING' else 'UNEXPLAINED' end, case when ties then 'rule:amount_ties' when carried then 'rule:r_cross_period' else 'unclassified' end, abs(amount), case when ties then 0.7 when carried then 0.75 end from (
+    select c.*, exists (select 1 from closed b where b.match_pass is null and b.net between c.amount - 100 and c.amount + 100) as ties,
+      exists (select 1 from prior p where p.net_minor between c.amount - 100 and c.amount + 100) as carried from open_credit c)
+  union all select 'unmapped', payment_id, min(batch_key), 'UNEXPLAINED', 'unclassified', max(abs(amount)), null from open_payment where batch_key not in (select o_orderkey from orders where o_orderkey % 23 <> 0) group by payment_id),
+register as (select {_ID.format(p='producer', s='subject')} as exception_id, producer, subject, batch_key, category, classified_by, cast(impact as bigint) as impact, confidence from parts)
 """
-
-
-@query(f"with {_REGISTER} select * from register")
-def exception_register(spark: SparkSession, d: str) -> DataFrame:
-    return _register(spark, d)[1]
-
-
-@query(f"with {_REGISTER} select producer, category, count(*) as exceptions, cast(sum(abs(impact)) as bigint) as gross_impact from register group by all")
-def exceptions_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return _register(spark, d)[1].groupBy("producer", "category").agg(F.count(F.lit(1)).alias("exceptions"), F.sum(F.abs("impact")).alias("gross_impact"))
-
-
 _CLUSTER = f"""{_REGISTER},
 keyed as (select *, replace(classified_by, 'rule:', '') as rule_id, case when impact < 0 then 'short' when impact > 0 then 'over' else 'flat' end as direction,
   case when abs(impact) < 100000 then '<₹1k' when abs(impact) < 1000000 then '₹1k–₹10k' when abs(impact) < 10000000 then '₹10k–₹1L' when abs(impact) < 100000000 then '₹1L–₹10L' else '₹10L+' end as band from register),
 clusters as (select category, rule_id, direction, band, count(*) as count, cast(sum(abs(impact)) as bigint) as gross_impact, cast(sum(impact) as bigint) as net_impact,
   arg_min(exception_id, struct_pack(i := -abs(impact), e := exception_id)) as example_id from keyed group by all)
 """
+_CASH = f"""with {_REGISTER},
+worst as (select batch_key, arg_min(category, struct_pack(r := -case when category in ('CHARGEBACK', 'WRONG_ACCOUNT', 'PARTIAL_PAYMENT', 'DUPLICATE', 'MISSING_UTR', 'SECURITY_REVIEW') then 3 when category = 'TIMING' then 1 else 2 end, i := -abs(impact), e := exception_id)) as category
+  from register where batch_key is not null group by batch_key)
+select case when category = 'TIMING' then 'in_transit' when category in ('CHARGEBACK', 'WRONG_ACCOUNT', 'PARTIAL_PAYMENT', 'DUPLICATE', 'MISSING_UTR', 'SECURITY_REVIEW') then 'held'
+    when category = 'UNEXPLAINED' or not (coalesce(abs(coalesce(tied, residual)) <= 100, false) and ledger_ok) then 'unexplained' else 'confirmed' end as bucket,
+  count(*) as batches, cast(sum(net) as bigint) as net from closed left join worst using (batch_key) group by bucket"""
+
+
+def _both(sql: str):
+    """Two queries: the read model over the whole cascade, and over what the blocked pass left, which SQL can say.
+
+    ``{pools}`` in the SQL stands for what the pool passes took; the tests put in what a plain loop finds, so that the
+    first form is compared too.
+    """
+
+    def keep(f):
+        full, keyed = (lambda spark, d, p=p: f(*_register(spark, d, p)) for p in (True, False))
+        QUERIES[f.__name__], QUERIES[f.__name__ + "_before_pools"] = full, keyed
+        POOLED[f.__name__], SQL[f.__name__ + "_before_pools"] = sql, sql.replace("{pools}", POOLS_SQL)
+        return f
+
+    return keep
+
+
+@_both(f"with {_REGISTER} select * from register")
+def exception_register(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return register
+
+
+@_both(f"with {_REGISTER} select producer, category, count(*) as exceptions, cast(sum(abs(impact)) as bigint) as gross_impact from register group by all")
+def exceptions_by_type(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return register.groupBy("producer", "category").agg(F.count(F.lit(1)).alias("exceptions"), F.sum(F.abs("impact")).alias("gross_impact"))
+
+
+@_both(f"with {_REGISTER} select r.exception_id, b.credit_id from register r join bank b on b.utr = r.batch_key")
+def exception_credits(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return X.linked_credits(register, done.credits)
 
 
-@query(f"with {_CLUSTER} select * from clusters")
-def root_cause_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return X.clusters(_register(spark, d)[1])
+@_both(f"with {_CLUSTER} select * from clusters")
+def root_cause_clusters(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return X.clusters(register)
 
 
-@query(f"with {_CLUSTER} select count(*) as clusters, cast(sum(count) as bigint) as exceptions, cast(sum(gross_impact) as bigint) as gross_impact, cast(sum(net_impact) as bigint) as net_impact from clusters")
-def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    return X.clusters(_register(spark, d)[1]).agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("exceptions"), F.sum("gross_impact").alias("gross_impact"), F.sum("net_impact").alias("net_impact"))
+@_both(f"with {_CLUSTER} select count(*) as clusters, cast(sum(count) as bigint) as exceptions, cast(sum(gross_impact) as bigint) as gross_impact, cast(sum(net_impact) as bigint) as net_impact from clusters")
+def cluster_summary(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return X.clusters(register).agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("exceptions"), F.sum("gross_impact").alias("gross_impact"), F.sum("net_impact").alias("net_impact"))
 
 
-@query(f"""with {_REGISTER},
-worst as (select subject, max(case category when 'ROUNDING' then 0 when 'TIMING' then 1 when 'UNEXPLAINED' then 3 when 'MISSING_UTR' then 3 else 2 end) as severity from register where producer in ('residual', 'ledger', 'duplicate', 'missing') group by subject)
-select case when severity >= 3 then 'unexplained' when severity = 2 then 'held' when severity = 1 then 'in_transit' when outcome in ('exact', 'tolerant') then 'confirmed' else 'unexplained' end as bucket,
-  count(*) as batches, cast(sum(net) as bigint) as net from named left join worst on subject = cast(batch_key as varchar) group by bucket""")
-def cash_position(spark: SparkSession, d: str) -> DataFrame:
-    return X.cash_position(*_register(spark, d))
+@_both(_CASH)
+def cash_position(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return X.cash_position(done.batches, register)
 
 
-@query(f"with {_REGISTER} select cast(sum(case when category = 'FEE_DEDUCTION' then abs(impact) else 0 end) as bigint) as money_found from register")
-def money_found(spark: SparkSession, d: str) -> DataFrame:
-    return _register(spark, d)[1].agg(F.sum(F.when(F.col("category") == "FEE_DEDUCTION", F.abs("impact")).otherwise(0)).alias("money_found"))
+@_both(f"with {_REGISTER} select cast(coalesce(sum(case when category = 'FEE_DEDUCTION' then abs(impact) else 0 end), 0) as bigint) as money_found from register")
+def money_found(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return register.agg(F.coalesce(F.sum(F.when(F.col("category") == "FEE_DEDUCTION", F.abs("impact")).otherwise(0)), F.lit(0)).cast("bigint").alias("money_found"))
 
 
-@query(f"with {_REGISTER} select producer, exception_id, impact, rank from (select *, row_number() over (partition by producer order by abs(impact) desc, exception_id) as rank from register) where rank <= 5")
-def top_exceptions(spark: SparkSession, d: str) -> DataFrame:
-    return X.top_exceptions(_register(spark, d)[1], "producer", 5).select("producer", "exception_id", "impact", F.col("rank").cast("bigint").alias("rank"))
+@_both(f"with {_REGISTER} select producer, exception_id, impact, rank from (select *, row_number() over (partition by producer order by abs(impact) desc, exception_id) as rank from register) where rank <= 5")
+def top_exceptions(done: C.Cascade, register: DataFrame) -> DataFrame:
+    return X.top_exceptions(register, "producer", 5).select("producer", "exception_id", "impact", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""
-with pay as (select distinct id, external_ids['order_id'] as o from recon_record where kind = 'payment'),
-led as (select distinct external_ids['order_id'] as o from recon_record where kind = 'payment' and value_date is not null)
-select count(*) as unmapped from pay where o is not null and not exists (select 1 from led where led.o = pay.o)""")
+with pay as (select id, min(external_ids['order_id']) as o from recon_record where kind = 'payment' and external_ids['order_id'] is not null group by id),
+led as (select distinct external_ids['order_id'] as o from recon_record where source = 'ledger')
+select count(*) as unmapped from pay where not exists (select 1 from led where led.o = pay.o)""")
 def unmapped_order(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "recon_record").where("kind = 'payment'").select("id", F.element_at("external_ids", "order_id").alias("order_id"), F.col("amount_minor").alias("amount"), "value_date").where("order_id is not null")
-    pay = r.select(F.col("id").alias("payment_id"), "order_id", "amount").dropDuplicates(["payment_id"])
-    return X.unmapped_orders(pay, r.where("value_date is not null")).agg(F.count(F.lit(1)).alias("unmapped"))
+    """Payments whose order no ledger Record names."""
+    order = F.element_at("external_ids", "order_id").alias("order_id")
+    r = table(spark, d, "recon_record")
+    pay = r.where("kind = 'payment'").select(F.col("id").alias("payment_id"), order, F.col("amount_minor").alias("amount")).where("order_id is not null").groupBy("payment_id").agg(F.min("order_id").alias("order_id"), F.max("amount").alias("amount"))
+    return X.unmapped_orders(pay, r.where("source = 'ledger'").select(order)).agg(F.count(F.lit(1)).alias("unmapped"))
 
 
 @query("""

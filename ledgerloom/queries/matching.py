@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import amount_level
+from ..operators import cascade as C
 from ..operators import fs
 from ..operators import matching as M
 from ..operators import views as V
@@ -67,19 +68,20 @@ _W = {f: " ".join(f"when '{k}' then {fs.bits(*mu)!r}" for k, mu in v.items()) fo
 _AL = "case when abs(amount - net) = 0 then 'exact' when abs(amount - net) <= 100 then 'within_rounding' when abs(amount - net) <= 200 then 'within_tol' when abs(amount - net) <= greatest(abs(amount), abs(net)) * 0.01 then 'within_1pct' else 'none' end"
 _DL = "case when abs(value_date - settled_at) = 0 then 'same_day' when abs(value_date - settled_at) <= 1 then 'within_1' when abs(value_date - settled_at) <= 4 then 'within_window' else 'none' end"
 _FIX = fs.bits(*fs.PRIOR["reference"]["exact"]) + fs.bits(*fs.PRIOR["idlink"]["shared"])
-#: The prior is one over the number of batches; a fixed one keeps the query independent of the scale.
-_PRIOR = 0.0001
+_FREE = fs.bits(*fs.PRIOR["reference"]["none"]) + fs.bits(*fs.PRIOR["idlink"]["none"])
+#: The prior is one over the number of batches.
+_PRIOR = "(select 1.0::double / greatest(count(*), 1) from batch)"
 
 
 @query(f"""with {_OUTCOME},
 w as (select *, {_AL} as amount_level, {_DL} as date_level from named where outcome = 'tolerant'),
 b as (select *, case amount_level {_W['amount']} end + case date_level {_W['date']} end + {_FIX!r} as bits from w),
-p as (select *, ({_PRIOR} / (1 - {_PRIOR})) * pow(2.0, bits) as odds from b)
+p as (select b.*, (q / (1 - q)) * pow(2.0, bits) as odds from b, (select least(1 - 1e-9, greatest(1e-9, {_PRIOR})) as q))
 select batch_key, amount_level, date_level, round(bits, 3) as weight_bits, round(case when ledger_ok then odds / (1 + odds) else least(odds / (1 + odds), 0.7) end, 6) as confidence from p""")
 def tolerant_match(spark: SparkSession, d: str) -> DataFrame:
     _, b, c, led = _views(spark, d)
     tied = M.outcome(b, c, led).where("outcome = 'tolerant'")
-    return M.tolerant_confidence(tied, _PRIOR).select("batch_key", "amount_level", "date_level", "weight_bits", "confidence")
+    return M.tolerant_confidence(tied, 1.0 / max(1, b.count())).select("batch_key", "amount_level", "date_level", "weight_bits", "confidence")
 
 
 @query(f"""
@@ -103,16 +105,17 @@ def mu_estimation(spark: SparkSession, d: str) -> DataFrame:
 
 _BAND = f"""{_OUTCOME},
 free_batch as (select * from named where credit_id is null),
-free_bank as (select * from bank where utr is null),
-band as (select b.batch_key, c.credit_id, abs(c.amount - b.net) as gap, abs(c.value_date - b.settled_at) as days
+free_bank as (select * from bank where utr is null or utr not in (select batch_key from batch)),
+band as (select b.batch_key, c.credit_id, abs(c.amount - b.net) as gap, abs(c.value_date - b.settled_at) as days, c.amount - b.net as residual, b.ledger_ok
   from free_batch b join free_bank c on c.amount between b.net - 200 and b.net + 200 where abs(c.value_date - b.settled_at) <= 4 or abs(c.amount - b.net) <= 100)
 """
 
 
 def _band(spark: SparkSession, d: str) -> DataFrame:
     _, b, c, led = _views(spark, d)
-    free = M.outcome(b, c, led).where("outcome = 'no_credit'").select("batch_key", "net", "settled_at")
-    return M.amount_band_pairs(free, c.where("utr is null"))
+    free = M.outcome(b, c, led).where("outcome = 'no_credit'").select("batch_key", "net", "settled_at", "ledger_ok")
+    orphan = c.join(b.select(F.col("batch_key").alias("utr")), "utr", "left_anti")
+    return M.amount_band_pairs(free, orphan)
 
 
 @query(f"with {_BAND} select batch_key, credit_id, gap, days from band")
@@ -120,54 +123,113 @@ def amount_band_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _band(spark, d).select("batch_key", "credit_id", "gap", F.col("days").cast("bigint").alias("days"))
 
 
-@query(f"""with {_BAND},
+_PAIRS = f"""{_BAND},
 ranked as (select *, row_number() over w as rk, lead(gap) over w as next_gap from band window w as (partition by batch_key order by gap, credit_id)),
-unclear as (select batch_key from ranked where rk = 1 and next_gap - gap <= 100)
-select batch_key, credit_id, gap, round(case when batch_key in (select batch_key from unclear) then least(c, 0.69) else c end, 4) as confidence from (
-  select *, case when days = 0 then 0.94 when days <= 1 then 0.90 when days <= 4 then 0.85 else 0.80 end::double - case when gap > 100 then 0.1 else 0.0 end::double as c from ranked)""")
+unclear as (select batch_key from ranked where rk = 1 and next_gap - gap <= 100),
+pair as (select batch_key, credit_id, gap, residual, case when days = 0 then 0 when days <= 1 then 1 when days <= 4 then 2 else 3 end as level,
+  round(least(c, case when batch_key in (select batch_key from unclear) then 0.69 else 1 end, case when ledger_ok then 1 else 0.7 end), 4) as confidence from (
+  select *, case when days = 0 then 0.94 when days <= 1 then 0.90 when days <= 4 then 0.85 else 0.80 end::double - case when gap > 100 then 0.1 else 0.0 end::double as c from ranked))
+"""
+#: Sequential greedy: one pair after the other in its order, each kept if both its ends are still free.
+_BLOCKED = f"""{_PAIRS},
+blocked as (select unnest(acc.rows, recursive := true) from (
+  select list_reduce(list(struct_pack(bs := [batch_key], cs := [credit_id], rows := [struct_pack(batch_key := batch_key, credit_id := credit_id, gap := gap, level := level, residual := residual, confidence := confidence)]) order by gap, level, credit_id, cast(batch_key as varchar)),
+    lambda a, x: case when list_contains(a.bs, x.bs[1]) or list_contains(a.cs, x.cs[1]) then a else struct_pack(bs := list_concat(a.bs, x.bs), cs := list_concat(a.cs, x.cs), rows := list_concat(a.rows, x.rows)) end) as acc
+  from pair where confidence >= 0.7))
+"""
+#: What the pool passes took, as three lists of ids; none where a query stops before them.
+POOLS_SQL = "pool_batch(batch_key, tied) as (select 0, 0 where false), pool_credit(credit_id) as (select '' where false), pool_payment(payment_id) as (select '' where false)"
+_CASCADE = f"""{_BLOCKED}, {{pools}},
+in_part as (select distinct batch_key from proc where payment_id in (select payment_id from pool_payment)),
+closed as (
+  select n.*, case when n.outcome in ('exact', 'tolerant') then n.outcome when b.batch_key is not null then 'blocked' when p.batch_key is not null then 'aggregate' when i.batch_key is not null then 'subset' end as match_pass,
+    case when n.outcome in ('exact', 'tolerant') then n.residual when b.batch_key is not null then b.residual when p.batch_key is not null then p.tied end as tied
+  from named n left join blocked b using (batch_key) left join pool_batch p using (batch_key) left join in_part i using (batch_key)),
+open_credit as (select * from free_bank where credit_id not in (select credit_id from blocked) and credit_id not in (select credit_id from pool_credit))
+"""
+BLOCKED_ONLY = _CASCADE.replace("{pools}", POOLS_SQL)
+
+
+def cascade(spark: SparkSession, d: str, pools: bool = True) -> C.Cascade:
+    lines, b, c, led = _views(spark, d)
+    return C.run(b, c, lines, led, pools)
+
+
+@query(f"with {_PAIRS} select batch_key, credit_id, gap, confidence from pair")
 def blocked_pair_confidence(spark: SparkSession, d: str) -> DataFrame:
     return M.blocked_confidence(_band(spark, d)).select("batch_key", "credit_id", "gap", "confidence")
 
 
-@query()
+@query(f"with {_BLOCKED} select batch_key, credit_id, gap, level, confidence from blocked")
 def blocked_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one assignment of the confident band pairs (tested against sequential greedy on small fixtures)."""
+    """One-to-one assignment of the confident band pairs, closest gap first, then date level, then ids."""
     pairs = M.blocked_confidence(_band(spark, d)).where(F.col("confidence") >= M.REVIEW)
-    return M.greedy(pairs, ["gap", "value_date"], "batch_key", "credit_id")
+    return M.greedy(pairs, ["gap", "level"], "batch_key", "credit_id", ["confidence"])
+
+
+_MATCHES = f"""with {BLOCKED_ONLY},
+w as (select *, {_AL} as amount_level, {_DL} as date_level from named where outcome = 'tolerant'),
+b as (select *, case amount_level {_W['amount']} end + case date_level {_W['date']} end + {_FIX!r} as bits from w),
+p as (select b.*, (q / (1 - q)) * pow(2.0, bits) as odds from b, (select least(1 - 1e-9, greatest(1e-9, {_PRIOR})) as q)),
+all_ as (
+  select 'm_' || batch_key as match_id, 'exact' as match_pass, credit_id, residual, 1.0::double as confidence, null::double as weight_bits from named where outcome = 'exact'
+  union all select 'm_' || batch_key, 'tolerant', credit_id, residual, round(case when ledger_ok then odds / (1 + odds) else least(odds / (1 + odds), 0.7) end, 4), round(bits, 3) from p
+  union all select 'm_' || batch_key, 'blocked', credit_id, residual, confidence, null from blocked)
+select *, case when confidence >= 0.9 then 'auto' else 'low_confidence' end as status from all_"""
+
+
+def _matches(c: C.Cascade) -> DataFrame:
+    return c.matches.select("match_id", "match_pass", F.col("credits")[0].alias("credit_id"), "residual", "confidence", "weight_bits", "status")
+
+
+@query(_MATCHES)
+def matches_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of the exact, tolerant and blocked passes, with status."""
+    return _matches(cascade(spark, d, pools=False))
+
+
+@query()
+def cascade_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of all passes, with the ids of each side and status (the pool passes are tested against a plain loop)."""
+    return cascade(spark, d).matches
 
 
 @query()
 def pool_passes(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregate, split and subset passes over what the exact, tolerant and blocked passes left.
+    """Aggregate, split and subset matches over what the exact, tolerant and blocked passes left.
 
     The passes know no dates, and the tables are one tenant's, so the whole run is one partition.
     """
-    lines, b, c, led = _views(spark, d)
-    part = F.lit("run").alias("part")
-    named = written(M.outcome(b, c, led).select("batch_key", "net", "settled_at", "outcome"), "outcomes")
-    free, orphan = named.where("outcome = 'no_credit'"), c.where("utr is null")
-    pairs = M.blocked_confidence(M.amount_band_pairs(free, orphan)).where(F.col("confidence") >= M.REVIEW)
-    blocked = M.greedy(pairs, ["gap", "value_date"], "batch_key", "credit_id")
-    done = named.where("outcome in ('exact', 'tolerant')").select("batch_key").unionByName(blocked.select("batch_key"))
-    free = free.join(blocked, "batch_key", "left_anti").select(part, "batch_key", "net")
-    orphan = orphan.join(blocked, "credit_id", "left_anti").select(part, "credit_id", "amount")
-    net = (F.col("amount") - F.col("fee") - F.col("tax")).alias("amount")
-    pays = lines.where("kind = 'payment'").join(done, "batch_key", "left_anti").select(part, "payment_id", "batch_key", net).distinct()
-    return M.pool_pass(free, orphan, pays, ["part"])
+    x = cascade(spark, d).matches.where("match_pass in ('aggregate', 'subset')")
+    kind = F.when(F.col("match_pass") == "subset", "subset").when(F.size("batches") > 1, "aggregate").otherwise("split")
+    return x.select(kind.alias("pass"), "credits", F.when(kind == "subset", F.col("payments")).otherwise(F.col("batches")).alias("members"), "residual", "confidence", "status")
 
 
-@query(f"""with {_OUTCOME},
-free_batch as (select * from named where credit_id is null),
-free_bank as (select * from bank where utr is null),
-x as (select c.credit_id, b.batch_key, c.amount, b.net, c.value_date, b.settled_at from free_bank c join free_batch b
-  on b.net between least(c.amount * 0.985, c.amount * 1.015) and greatest(c.amount * 0.985, c.amount * 1.015)
-  where abs(c.amount - b.net) <= greatest(abs(c.amount), abs(b.net)) * 0.01 and sign(c.amount) = sign(b.net)),
-s as (select credit_id, batch_key, round(case {_AL} {_W['amount']} end + case {_DL} {_W['date']} end, 3) as score_bits from x)
-select * from (select *, row_number() over (partition by credit_id order by score_bits desc, batch_key) as rank from s) where rank <= 3""")
+FUZZY_SQL = f"""with {_CASCADE},
+own as (select b.batch_key, b.net, b.settled_at, p.party from closed b left join party p using (batch_key) where match_pass is null),
+ask as (select c.credit_id, c.amount, c.value_date, p.party as c_party from open_credit c left join party p on p.batch_key = cast(substr(c.credit_id, 4) as bigint)),
+s as (select credit_id, batch_key, round(case {_AL} {_W['amount']} end + case {_DL} {_W['date']} end + {_FREE!r} + case when c_party = party then 1 else 0 end, 3) as score_bits from ask, own)
+select * from (select *, row_number() over (partition by credit_id order by score_bits desc, cast(batch_key as varchar)) as rank from s) where rank <= 3"""
+
+
+def _fuzzy(spark: SparkSession, d: str, pools: bool) -> DataFrame:
+    done, party = cascade(spark, d, pools), V.party(spark, d)
+    own = done.open_batches().join(party, "batch_key", "left")
+    key = F.substring("credit_id", 4, 20).cast("bigint")
+    ask = done.open_credits().withColumn("batch_key", key).join(party, "batch_key", "left").drop("batch_key")
+    return M.fuzzy_top(own, ask).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
 def fuzzy_top3(spark: SparkSession, d: str) -> DataFrame:
-    _, b, c, led = _views(spark, d)
-    free = M.outcome(b, c, led).where("outcome = 'no_credit'").select("batch_key", "net", "settled_at")
-    return M.fuzzy_top(free, c.where("utr is null")).withColumn("rank", F.col("rank").cast("bigint"))
+    """The three best open batches for each credit that the whole cascade left."""
+    return _fuzzy(spark, d, True)
+
+
+@query(FUZZY_SQL.replace("{pools}", POOLS_SQL))
+def fuzzy_top3_before_pools(spark: SparkSession, d: str) -> DataFrame:
+    """The same for what the blocked pass left, which SQL can say."""
+    return _fuzzy(spark, d, False)
 
 
 @query(f"with {_OUTCOME} select outcome, count(*) as batches, cast(sum(net) as bigint) as net, cast(sum(coalesce(residual, 0)) as bigint) as residual, count(*) filter (where not ledger_ok) as ledger_breaks from named group by outcome")

@@ -37,11 +37,17 @@ def test_fuzzy_equals_cross_product(spark):
     batches = [(k, near(), day()) for k in rng.sample(range(10_000), 500)]
     credits = [(f"c{k}", near(), day()) for k in range(200)]
     b, c = fuzzy_inputs(spark, batches, credits)
-    bits = fs.weight({"amount": amount_level("amount", "net", M.ROUNDING, M.TOLERANCE), "date": date_level("value_date", "settled_at", M.WINDOW)})
-    x = c.crossJoin(b).withColumn("score_bits", F.round(bits, 3))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("credit_id").orderBy(F.desc("score_bits"), "batch_key"))).where("rank <= 3")
+    bits = fs.weight({"amount": amount_level("amount", "net", M.ROUNDING, M.TOLERANCE), "date": date_level("value_date", "settled_at", M.WINDOW), "reference": F.lit("none"), "idlink": F.lit("none")})
+    top = Window.partitionBy("credit_id").orderBy(F.desc("score_bits"), F.col("batch_key").cast("string"))
+    x = c.crossJoin(b).withColumn("score_bits", F.round(bits, 3)).withColumn("rank", F.row_number().over(top)).where("rank <= 3")
     key = lambda df: sorted((r["credit_id"], r["rank"], r["batch_key"], r["score_bits"]) for r in df.collect())
     assert key(M.fuzzy_top(b, c)) == key(x)
+    # A bit more for the same party, which a third of all rows share.
+    party = lambda key: F.when(F.xxhash64(key) % 3 == 0, "hot").when(F.xxhash64(key) % 50 != 0, F.concat(F.lit("p"), F.pmod(F.xxhash64(key), F.lit(40))))
+    b2, c2 = b.withColumn("party", party("batch_key")), c.withColumn("party", party("credit_id"))
+    more = F.when(F.col("party") == F.col("b_party"), 1.0).otherwise(0.0)
+    y = c2.crossJoin(b2.withColumnRenamed("party", "b_party")).withColumn("score_bits", F.round(bits + more, 3)).withColumn("rank", F.row_number().over(top)).where("rank <= 3")
+    assert key(M.fuzzy_top(b2, c2)) == key(y)
     assert M.fuzzy_top(b, c.limit(0)).count() == 0
     assert M.fuzzy_top(b.limit(0), c).count() == 0
 
