@@ -139,24 +139,58 @@ ROWS = [
     move("no_moment1", 4, moment=None, pay="pay_000007", order="ord_000007"),
     move("no_moment2", 5, moment=None, pay="pay000007", order="ord_000007"),
     move(None, 2),
+    move("zeros1", 6, moment="50", pay="pay_000345", order=None, amount=7000),
+    move("zeros2", 7, moment="50", pay="345/2", order=None, amount=7001),
+    move("lost_moment1", 6, moment="60", pay="pay_000600", order="ord_000600", amount=8000),
+    move("lost_moment2", 7, moment=None, pay="pay_000600", order="ord_000600", amount=8000),
+    move("order_only", 6, moment="1735700000", pay=None, order="ord_000700", amount=9000),
+    move("pay_only", 7, moment="1735700000", pay="pay_000701", order=None, amount=9000),
+    move("bare1", 6, moment=None, pay=None, order=None, utr=None, amount=500),
+    move("bare2", 7, moment=None, pay=None, order=None, utr=None, amount=500),
+    move("bare3", 7, moment=None, pay=None, order=None, utr=None, amount=501),
 ]
+SAME = {("a", "b"), ("a", "c"), ("b", "c"), ("b", "same_load"), ("c", "same_load"), ("no_moment1", "no_moment2")}
+SAME |= {("zeros1", "zeros2"), ("lost_moment1", "lost_moment2"), ("order_only", "pay_only"), ("bare1", "bare2")}
 
 
 def test_repeats(spark):
     df = spark.createDataFrame(ROWS, MOVE)
-    got = {(r["record_a"], r["record_b"]) for r in history.all_repeats(df).collect()}
-    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "same_load"), ("c", "same_load"), ("no_moment1", "no_moment2")}
+    for step in (1, 3, 99):
+        got = [(r["record_a"], r["record_b"]) for r in history.all_repeats(df, step).collect()]
+        assert len(got) == len(set(got)) and set(got) == SAME
     assert history.all_repeats(df.limit(0)).count() == 0
 
 
-def test_load_after_load_finds_the_same(spark, tmp_path):
-    store = history.AcceptedHashes(spark, str(tmp_path / "hashes"))
+def test_each_new_load_against_the_store(spark, tmp_path):
+    df = spark.createDataFrame([r for r in ROWS if r[0]], MOVE)
     got = set()
-    for load in (1, 2, 3, 4, 5):
-        rows = [r for r in ROWS if r[11] == load and r[0]]
-        got |= {tuple(sorted((r["new_id"], r["old_id"]))) for r in store.check_and_append(spark.createDataFrame(rows, MOVE)).collect()}
-        assert store.check_and_append(spark.createDataFrame(rows, MOVE)).count() == 0  # the same load again
-    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "same_load"), ("c", "same_load"), ("no_moment1", "no_moment2")}
+    for load in range(1, 8):
+        # Opened anew each time, as a later job would.
+        store = history.AcceptedHashes(spark, str(tmp_path / "hashes"), buckets=3)
+        new = history.movement_hashes(df.where(f"ingest_batch = {load}"))
+        got |= {tuple(sorted((r["new_id"], r["old_id"]))) for r in store.check_and_append(new).collect()}
+        assert store.check_and_append(new).count() == 0  # the same load again
+        assert spark.table(store.paragraphs).count() == spark.table(store.paragraphs).select("id").distinct().count()
+        store.close()
+    assert got == SAME
+
+
+def test_a_load_reads_its_months_bucket_by_bucket(spark, tmp_path):
+    store = history.AcceptedHashes(spark, str(tmp_path / "hashes"))
+    new = history.movement_hashes(spark.createDataFrame([move("x", 1, moment="1735700000")], MOVE))
+    store.check_and_append(new)
+    plan = store.check(new, ["202501"])._jdf.queryExecution().toString()
+    assert "month#" in plan and "PartitionFilters: [month#" in plan and "Bucketed: true" in plan
+    store.close()
+
+
+def test_one_moment_of_very_many_movements(spark):
+    rows = [move(f"h{i}", i % 5, moment="77", order=f"ord_{i:06}", pay=f"pay_{i:06}") for i in range(1000, 4000)]
+    rows += [move("h_copy", 9, moment="77", order="ord_001234", pay=None)]
+    h = history.movement_hashes(spark.createDataFrame(rows, MOVE))
+    a, b = history._keys(h, True), history._keys(h, False)
+    assert a.join(b.select("key"), "key").count() < 30 * len(rows)
+    assert {(r["record_a"], r["record_b"]) for r in history.all_repeats(spark.createDataFrame(rows, MOVE)).collect()} == {("h1234", "h_copy")}
 
 
 # -- names -----------------------------------------------------------------------------------------------------------
