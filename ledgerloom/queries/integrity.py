@@ -33,14 +33,27 @@ def p1_source_ingested(spark: SparkSession, d: str) -> DataFrame:
     return Q.per_file(_classified(spark, d))
 
 
-def _streamed(spark: SparkSession, d: str) -> DataFrame:
+#: Files of a micro-batch.
+FILES = 4
+
+
+def _streamed(spark: SparkSession, d: str) -> str:
     """The streaming operator run over all of recon_record; one folder per run below the shared one."""
-    base = f"{shared_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
     schema = table(spark, d, "recon_record").schema
-    # As a pattern, so that one file and a folder of part files both serve as a stream.
-    records = spark.readStream.schema(schema).option("maxFilesPerTrigger", 256).parquet(f"{d}/[r]econ_record.parquet")
     closes = table(spark, d, "period_close")
-    return L.current(L.run_event_windows(records, closes, base), closes)
+
+    def run(disorder: str) -> str:
+        base = f"{shared_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+        # As a pattern, so that one file and a folder of part files both serve as a stream.
+        records = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{d}/[r]econ_record.parquet")
+        L.run_event_windows(records, closes, base, disorder)
+        return base
+
+    try:
+        return run(L.DISORDER)
+    except L.OutOfOrderError:
+        # Files in no order at all: state is kept for as long as any of them may need it.
+        return run("36500 days")
 
 
 def _timed(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +61,11 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return L.too_late(_streamed(spark, d)).select(F.col("id").alias("record_id"), "period")
+    return L.diverted(spark, _streamed(spark, d)).select(F.col("id").alias("record_id"), "period")
 
 
 def p3_stream_sums(spark: SparkSession, d: str) -> DataFrame:
-    return L.period_sums(_streamed(spark, d))
+    return L.aggregates(spark, _streamed(spark, d))
 
 
 def p3_period_sums(spark: SparkSession, d: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Late and out-of-order events: per-period aggregates by event time, corrected until each period's cut-off.
 
-``event_windows`` is a Structured Streaming operator: keyed state within event-time windows, emitting upserts; the table
-of upserts holds the current aggregates and the diverted late records. ``with_lateness`` gives the same in one batch.
+``run_event_windows`` is the Structured Streaming operator. The windows are the periods; the clock is the arrival time
+with a watermark; what a period still takes after its end is its allowed lateness (up to ``cutoff_at``). State keyed by
+tenant, source and period emits updated aggregates as upserts and is evicted when the watermark passes the cut-off;
+records after the cut-off are diverted into a table of their own. ``with_lateness`` gives the same in one batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Scope of a period.
 KEYS = ["org_id", "source", "period"]
+#: How far out of order rows arrive at most: the delay of the watermark behind the arrival clock.
+DISORDER = "30 days"
 
 
 def period_of() -> Column:
@@ -91,42 +94,119 @@ def open_batches(prior_batch: DataFrame, records: DataFrame) -> DataFrame:
     return joined.select("period", "settlement_utr", "from_run_id", "net_minor", F.col("c.ingested_at").alias("credited_at"), F.col("c.amount_minor").alias("credit_minor"), F.col("c").isNull().alias("still_open"))
 
 
-def event_windows(records: DataFrame, period_close: DataFrame, lateness: str | None = None) -> DataFrame:
-    """The running operator: keyed state per id within its event-time window (the calendar month of its period).
+class OutOfOrderError(ValueError):
+    """Rows arrived further out of order than allowed, after the state of their period was gone."""
+
+
+def _cutoff_key(closes_at: Column, disorder: str) -> Column:
+    """``closes_at`` as the event time of a grouping key: its state goes when the arrival clock's watermark passes it."""
+    amount, unit = disorder.split()
+    millis = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000
+    return closes_at.alias("closes_at", metadata={"spark.watermarkDelayMs": millis})
 
-    ``records`` is a stream, ``period_close`` static: each period's ``cutoff_at`` is the watermark up to which that
-    tenant, source and period take corrections. The state holds one small struct per id, its earliest arrival, in the
-    engine's native state store and partitioned by id, so a tenant with a third of all rows is spread evenly. Every
-    micro-batch emits, as upserts, the ids whose earliest arrival changed; nothing is dropped, late ids come out with
-    ``timing`` too_late and can be diverted. With ``lateness`` (an interval) the state of windows that ended longer
-    ago than that is evicted; without it, it is kept, which is what exactness over a whole history needs.
-    """
-    month = F.trunc(F.coalesce("value_date", "settled_at"), "month")
-    events = records.where("id is not null and ingested_at is not null").withColumn("window_start", F.coalesce(month, F.to_date(F.lit("1970-01-01"))).cast("timestamp"))
-    if lateness is not None:
-        events = events.withWatermark("window_start", lateness)
-    row = F.struct("ingested_at", "ingest_batch", "org_id", "source", period_of().alias("period"), "amount_minor", "fee_minor", "tax_minor")
-    return events.groupBy("id", "window_start").agg(F.min(row).alias("r")).select("id", "r.*")
 
+def dated(records: DataFrame, period_close: DataFrame) -> DataFrame:
+    """Rows with id, arrival and period, and the end and cut-off of their tenant, source and period (null: open)."""
+    rows = records.where("id is not null and ingested_at is not null").withColumn("period", period_of()).where("period is not null")
+    rows = rows.select("id", *KEYS, "ingested_at", "ingest_batch", "amount_minor")
+    return rows.join(closes(period_close), KEYS, "left")
 
-def run_event_windows(records: DataFrame, period_close: DataFrame, base: str, lateness: str | None = None) -> DataFrame:
-    """Runs the stream to the end of its present input and returns the upsert table, with ``timing`` and ``batch_id``.
 
-    ``base`` is a folder that all executors share; a second run over the same folder goes on where the last ended.
+def arrivals(rows: DataFrame, disorder: str) -> DataFrame:
+    """Stage 1, native keyed state per id within its window: the earliest arrival, as of each micro-batch.
+
+    ``first_seen`` is the micro-batch that saw the id first, ``r.seen_at`` the one that brought its earliest arrival and
+    ``now`` the present one. A tenant with a third of all rows is spread over its ids.
     """
+    row = F.struct("ingested_at", "ingest_batch", F.current_timestamp().alias("seen_at"), "amount_minor", "ends_at")
+    x = rows.withWatermark("ingested_at", disorder).select("id", *KEYS, _cutoff_key(F.col("cutoff_at"), disorder), row.alias("row"))
+    x = x.groupBy("id", *KEYS, "closes_at").agg(F.min("row").alias("r"), F.min("row.seen_at").alias("first_seen"))
+    return x.withColumn("now", F.current_timestamp())
 
-    def sink(df: DataFrame, batch_id: int) -> None:
-        # Named by the micro-batch, so a batch that is replayed after a failure replaces its own output.
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/upserts/batch={batch_id}")
 
-    stream = event_windows(records, period_close, lateness)
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    spark = records.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{base}/upserts")
+CHANGE = f"id string, {', '.join(k + ' string' for k in KEYS)}, closes_at timestamp, ingested_at timestamp, amount_minor bigint, corrected boolean, sign int"
+SUMS = ["n_first_closed", "sum_first_closed", "n_corrected", "sum_corrected"]
 
 
-def current(upserts: DataFrame, period_close: DataFrame) -> DataFrame:
-    """The state of the upsert table: per id the earliest arrival, with ``timing``."""
-    return with_lateness(upserts, period_close, period=F.col("period"))
+def window_sums(changes: DataFrame, disorder: str) -> DataFrame:
+    """Stage 2, keyed state per tenant, source and period: the sums as first closed and as corrected so far.
+
+    Partial sums are made before the shuffle, so a hot period costs one row per task.
+    """
+    x = changes.withWatermark("ingested_at", disorder).select(*KEYS, _cutoff_key(F.col("closes_at"), disorder), "sign", F.coalesce("amount_minor", F.lit(0)).alias("a"), "corrected")
+    pick = lambda c, v: F.sum(F.when(c, v * F.col("sign")).otherwise(0)).cast("bigint")
+    first, all_ = ~F.col("corrected"), F.lit(True)
+    sums = [pick(first, F.lit(1)), pick(first, F.col("a")), pick(all_, F.lit(1)), pick(all_, F.col("a"))]
+    return x.groupBy(*KEYS, "closes_at").agg(*(s.alias(n) for s, n in zip(sums, SUMS)))
+
+
+def _drain(df: DataFrame, mode: str, checkpoint: str, sink) -> list[dict]:
+    """Runs a stream to the end of its present input; returns what its state did, micro-batch by micro-batch."""
+    spark = df.sparkSession
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")
+    try:
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+        return [{"batch": p.batchId, "rows": p.numInputRows, "evicted": sum(o.numRowsRemoved for o in p.stateOperators), "dropped": sum(o.numRowsDroppedByWatermark for o in p.stateOperators)} for p in query.recentProgress]
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+
+
+def run_event_windows(records: DataFrame, period_close: DataFrame, base: str, disorder: str = DISORDER) -> list[dict]:
+    """Runs the stream over what ``records`` (a stream) has; ``period_close`` is static. Returns the state's progress.
+
+    ``base`` is a folder that all executors share; a second run over the same folder goes on where the last ended, and a
+    micro-batch that is replayed after a failure replaces its own output. Read the results with ``aggregates`` and
+    ``diverted``. Arrival is out of order by at most ``disorder``: a row in time for a period whose state is gone
+    raises ``OutOfOrderError`` rather than being lost. An id counts once per tenant, source and period.
+    """
+    spark = records.sparkSession
+    rows = dated(records, period_close)
+    in_time = F.col("cutoff_at").isNull() | (F.col("ingested_at") <= F.col("cutoff_at"))
+
+    def keep(table: str):
+        return lambda df, n: df.write.mode("overwrite").parquet(f"{base}/{table}/batch={n}")
+
+    def changes(df: DataFrame, n: int) -> None:
+        keep("arrivals")(df.where("first_seen = now or r.seen_at = now"), n)
+        seen = spark.read.parquet(f"{base}/arrivals/batch={n}")
+        row = lambda x, sign: x.select("id", *KEYS, "closes_at", "r.ingested_at", "r.amount_minor", F.coalesce(F.col("r.ingested_at") > F.col("r.ends_at"), F.lit(False)).alias("corrected"), F.lit(sign).alias("sign"))
+        out = row(seen, 1)
+        moved = seen.where("first_seen < now").select("id", *(F.col(k).alias(f"m_{k}") for k in KEYS)).withColumnRenamed("id", "m_id")
+        if not moved.isEmpty():
+            # An earlier arrival came in later: what the id counted for so far is taken back.
+            before = spark.read.schema(CHANGE + ", batch int").parquet(f"{base}/changes").where(F.col("batch") < n)
+            same = F.col("id") == F.col("m_id")
+            for k in KEYS:
+                same &= F.col(k).eqNullSafe(F.col(f"m_{k}"))
+            before = before.join(moved, same, "left_semi")
+            last = before.groupBy("id", *KEYS).agg(F.max(F.struct("batch", "sign", "closes_at", "ingested_at", "amount_minor", "corrected")).alias("b"))
+            out = out.unionByName(last.select("id", *KEYS, "b.closes_at", "b.ingested_at", "b.amount_minor", "b.corrected", F.lit(-1).alias("sign")))
+        out.write.mode("overwrite").parquet(f"{base}/changes/batch={n}")
+
+    late = rows.where(~in_time).select("id", *KEYS, "ingested_at", "ingest_batch", "amount_minor", "cutoff_at")
+    _drain(late, "append", f"{base}/state-late", keep("late"))
+    progress = _drain(arrivals(rows.where(in_time), disorder), "update", f"{base}/state-arrivals", changes)
+    feed = spark.readStream.schema(CHANGE + ", batch int").option("maxFilesPerTrigger", 10_000).parquet(f"{base}/changes")
+    progress += _drain(window_sums(feed, disorder), "update", f"{base}/state-sums", keep("sums"))
+    if lost := sum(p["dropped"] for p in progress):
+        raise OutOfOrderError(f"{lost} rows arrived more than {disorder} out of order")
+    return progress
+
+
+def diverted(spark: SparkSession, base: str) -> DataFrame:
+    """The records that came after the cut-off, by first arrival; a late repeat of a record that came in time is none."""
+    late = spark.read.schema(f"id string, {', '.join(k + ' string' for k in KEYS)}, ingested_at timestamp, ingest_batch int, amount_minor bigint, cutoff_at timestamp").parquet(f"{base}/late")
+    first = late.groupBy("id", *KEYS).agg(F.min(F.struct("ingested_at", "ingest_batch", "amount_minor", "cutoff_at")).alias("r")).select("id", *KEYS, "r.*")
+    return first.join(spark.read.schema(CHANGE).parquet(f"{base}/changes").select("id", *KEYS), ["id", *KEYS], "left_anti")
+
+
+def aggregates(spark: SparkSession, base: str) -> DataFrame:
+    """The present aggregates: the last upsert of each tenant, source and period, beside what was diverted."""
+    schema = f"{', '.join(k + ' string' for k in KEYS)}, closes_at timestamp, {', '.join(n + ' bigint' for n in SUMS)}, batch int"
+    last = spark.read.schema(schema).parquet(f"{base}/sums").groupBy(*KEYS).agg(F.max(F.struct("batch", *SUMS)).alias("s")).select(*KEYS, *(f"s.{n}" for n in SUMS))
+    late = diverted(spark, base).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_too_late"), F.sum(F.coalesce("amount_minor", F.lit(0))).alias("sum_too_late"))
+    same = last["org_id"].eqNullSafe(late["org_id"]) & last["source"].eqNullSafe(late["source"]) & (last["period"] == late["period"])
+    both = last.join(late, same, "full").select(*(F.coalesce(last[k], late[k]).alias(k) for k in KEYS), *SUMS, "n_too_late", "sum_too_late")
+    return both.na.fill(0, [*SUMS, "n_too_late", "sum_too_late"])

@@ -62,16 +62,54 @@ def test_lateness(spark, close):
     assert late.with_lateness(records(spark, []), close).count() == 0
 
 
-def test_stream_equals_batch_in_any_order(spark, close, tmp_path):
+def streamed(spark, close, tmp_path, parts, disorder=late.DISORDER):
+    """The stream over ``parts``, one file and micro-batch each; (base, progress)."""
+    import os
+
+    for k, part in enumerate(parts):
+        records(spark, part).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        for f in (tmp_path / f"in{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 60 * k,) * 2)  # taken in this order
+    stream = spark.readStream.schema(records(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    base = str(tmp_path / "state")
+    return base, late.run_event_windows(stream, close, base, disorder)
+
+
+def same_as_batch(spark, close, base, rows):
+    timed = late.with_lateness(records(spark, rows), close)
+    key = lambda df: sorted(str(tuple(r)) for r in df.select(*late.KEYS, *late.SUMS, "n_too_late", "sum_too_late").collect())
+    assert key(late.aggregates(spark, base)) == key(late.period_sums(timed))
+    assert {r["id"] for r in late.diverted(spark, base).collect()} == {r["id"] for r in late.too_late(timed).collect()}
+
+
+def test_stream_equals_batch_out_of_order(spark, close, tmp_path):
     rng = random.Random(3)
-    rows = [rec(f"r{rng.randrange(40)}", ts(rng.randrange(1, 20))) for _ in range(120)]
-    for k in range(4):  # four files, four micro-batches
-        records(spark, rows[k::4]).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
-    stream = spark.readStream.schema(records(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
-    ups = late.run_event_windows(stream, close, str(tmp_path / "state"))
-    got = {(r["id"], r["timing"]) for r in late.current(ups, close).collect()}
-    # First arrivals differ in other columns only, so the same id and timing must come out.
-    assert got == {(r["id"], r["timing"]) for r in late.with_lateness(records(spark, rows), close).collect()}
+    rows = [rec(f"r{rng.randrange(60)}", ts(rng.randrange(-3, 20)), amount=7) for _ in range(160)]
+    rows += [rec("open", ts(3), dt.date(2025, 3, 1)), rec("undated", ts(3), None, None), rec(None, ts(3)), rec("null", ts(2), amount=None), rec("x", ts(2), org=None), rec("x", ts(1), org=None)]
+    base, progress = streamed(spark, close, tmp_path, [rows[k::4] for k in range(4)])
+    same_as_batch(spark, close, base, rows)
+    changes = spark.read.parquet(f"{base}/changes")
+    assert changes.where("sign = -1").count() > 0 and changes.select("batch").distinct().count() > 1
+
+
+def test_state_is_evicted_after_the_cutoff(spark, close, tmp_path):
+    parts = [[rec(f"a{i}", ts(i % 9)) for i in range(30)], [rec(f"b{i}", ts(55), dt.date(2025, 3, 5)) for i in range(5)], [rec("c", ts(60), dt.date(2025, 3, 6)), rec("a1", ts(61)), rec("d", ts(61))], [rec("e", ts(62), dt.date(2025, 3, 6))]]
+    base, progress = streamed(spark, close, tmp_path, parts)
+    assert sum(p["evicted"] for p in progress) >= 31 and not any(p["dropped"] for p in progress)
+    same_as_batch(spark, close, base, [r for p in parts for r in p])
+    # "d" came after the state was gone and is diverted; "a1" had come in time and is no late record.
+    assert [r["id"] for r in late.diverted(spark, base).collect()] == ["d"]
+
+
+def test_more_disorder_than_allowed_is_an_error(spark, close, tmp_path):
+    parts = [[rec("new", ts(80), dt.date(2025, 4, 1))], [rec("x", ts(81), dt.date(2025, 4, 1))], [rec("old", ts(5))]]
+    with pytest.raises(late.OutOfOrderError):
+        streamed(spark, close, tmp_path, parts)
+
+
+def test_empty_stream(spark, close, tmp_path):
+    base, _ = streamed(spark, close, tmp_path, [[], []])
+    assert late.aggregates(spark, base).count() == late.diverted(spark, base).count() == 0
 
 
 def test_orphans(spark):
