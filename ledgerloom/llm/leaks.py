@@ -1,47 +1,65 @@
 """Finding held-out evaluation passages in a large corpus by greedy string tiling.
 
-Documents and items become words without case, marks and layout. Shared runs of SEED words on nearly the same diagonal
-propose (document, item) pairs; greedy string tiling then marks the longest non-overlapping matches, found with running
-Karp-Rabin hashes, and the tiles of a pair decide: a passage of at least PASSAGE consecutive item words, most of them
-matched, or an item covered nearly whole in whatever order.
-
-Items are held by every task in blocks of bounded size, one pass over the documents per block, so documents are read
-where they lie and never shuffled, however many they are.
+Documents and items become words without case, marks and layout, as numbers, in the JVM. Runs of SEED words that both
+have propose (document, item) pairs by a join; a pair goes on if its seeds cover as many of the item's words, in
+whatever order, as any reportable match must, so nothing is lost there. Greedy string tiling then marks the longest
+non-overlapping matches of each pair, found with running Karp-Rabin hashes, and the tiles decide: a passage of at least
+PASSAGE consecutive item words, most of them matched, or an item covered nearly whole in whatever order.
+
+Seeds of the items are broadcast up to a bound of their number and joined by shuffle beyond it. The corpus is read once
+for the seeds and once more for the documents that met an item.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a row that must agree for a seed; seeds that a passage with three altered words in twenty still has.
-SEED, SEEDS_LEAST = 4, 4
-#: Seeds of one passage lie on diagonals at most this far apart (words put in or left out).
-DRIFT = 6
-#: Shortest tile, shortest passage and least share of matched words in it; share of a whole item in any order.
-TILE, PASSAGE, MATCHED, WHOLE = 3, 20, 0.8, 0.85
-#: Seeds of items held by a task at a time: about 100 bytes each.
-BLOCK_SEEDS = 500_000
-
-_TAGS = re.compile(r"<[^<>\n]{1,60}>|&[a-z]{2,6};")
-_MARKS = re.compile(r"[^\w]|_", re.UNICODE)
+#: Words of a seed and of the shortest tile: every tile holds a seed.
+SEED = TILE = 3
+#: Shortest passage and least share of matched words in it; share of a whole item in any order.
+PASSAGE, MATCHED, WHOLE = 20, 0.8, 0.85
+#: Words between two tiles of one passage, at most.
+GAP = 3
+#: Seeds of items up to which they are broadcast (about 40 bytes each).
+BROADCAST_SEEDS = 1_000_000
+
 RESULT = "doc_id bigint, item_id bigint, passage_words int, matched_words int, item_words int, tiles int"
 
 
-def words_of(text: str | None) -> list[str]:
+def _plain_letters() -> tuple[str, str]:
+    """Letters and digits with accents or of other widths, and the plain ones they stand for."""
+    pairs = []
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)):
+        base = [c for c in unicodedata.normalize("NFKD", chr(point).lower()) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0] != chr(point):
+            pairs.append((chr(point), base[0]))
+    return "".join(p for p, _ in pairs), "".join(p for _, p in pairs)
+
+
+def words_of(text: Column) -> Column:
     """Words as white space parts them, folded and stripped of marks; parts of marks only are no words."""
-    if not text:
-        return []
-    text = _TAGS.sub(" ", text)
-    text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return [w for p in text.split() if (w := _MARKS.sub("", p))]
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^<>\n]{1,60}>|&[a-z]{2,6};", " ")
+    plain = F.translate(F.lower(plain), *_plain_letters())
+    plain = F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}\s]+", "")
+    return F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")
+
+
+def _numbers(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _seeds(numbers: Column) -> Column:
+    """Hash of the run of SEED words at each position."""
+    last = F.size(numbers) - SEED
+    at = lambda i: F.xxhash64(*(F.get(numbers, i + k) for k in range(SEED)))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -56,7 +74,7 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+def tile(a, b, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length), longest first, no word of either side used twice."""
     x, y = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
     used_x, used_y = np.zeros(len(x), dtype=bool), np.zeros(len(y), dtype=bool)
@@ -64,13 +82,16 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
     size = max(least, min(len(x), len(y), 32))
     while True:
         where: dict[int, list[int]] = defaultdict(list)
-        for j, h in enumerate(_rolling(y, size).tolist()):
+        hashes_y, hashes_x = _rolling(y, size), _rolling(x, size)
+        for j, h in enumerate(hashes_y.tolist()):
             where[h].append(j)
+        shared = np.flatnonzero(np.isin(hashes_x, hashes_y))
+        spots = list(zip(shared.tolist(), hashes_x[shared].tolist()))
         while True:
             best: dict[int, list[tuple[int, int]]] = defaultdict(list)
             ends: dict[int, int] = {}
-            for i, h in enumerate(_rolling(x, size).tolist()):
-                for j in where.get(h, ()):
+            for i, h in spots:
+                for j in where[h]:
                     if ends.get(i - j, -1) > i or used_x[i] or used_y[j]:
                         continue
                     n = 0
@@ -94,7 +115,7 @@ def tile(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int,
         size = max(least, size // 2)
 
 
-def best_passage(tiles: list[tuple[int, int, int]], details: list[bool], gap: int = 3) -> tuple[int, int]:
+def best_passage(tiles: list[tuple[int, int, int]], details: list[bool], gap: int = GAP) -> tuple[int, int]:
     """(item words spanned, item words matched) of the best run of tiles that follow each other in both texts.
 
     Tiles join where at most ``gap`` words lie between them on either side and none of the item's is a detail (a word
@@ -118,78 +139,71 @@ def best_passage(tiles: list[tuple[int, int, int]], details: list[bool], gap: in
     return best
 
 
-class ItemIndex:
-    """Items of one block: their words as numbers and where each seed occurs."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.ids: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        self.details: list[list[bool]] = []
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for item_id, words in items:
-            nums = [self.ids.setdefault(w, len(self.ids)) for w in words]
-            k = len(self.items)
-            self.items.append((item_id, nums))
-            self.details.append([any(c.isdigit() for c in w) for w in words])
-            for j in range(len(nums) - SEED + 1):
-                self.seeds[tuple(nums[j : j + SEED])].append((k, j))
-
-    def leaks(self, words: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item_id, passage words, matched words, item words, tiles) of each item that the document carries."""
-        nums = [self.ids.get(w, -1) for w in words]
-        votes: Counter[tuple[int, int]] = Counter()
-        for i in range(len(nums) - SEED + 1):
-            run = tuple(nums[i : i + SEED])
-            if -1 in run:
-                continue
-            for k, j in self.seeds.get(run, ()):
-                slot = (i - j) // DRIFT
-                votes[k, slot] += 1
-        short = {k for k, (_, item) in enumerate(self.items) if len(item) < PASSAGE}
-        hits = {k for (k, s), n in votes.items() if n + votes.get((k, s + 1), 0) >= SEEDS_LEAST or k in short}
-        for k in sorted(hits):
-            item_id, item = self.items[k]
-            known = [n if n >= 0 else -1 - p for p, n in enumerate(nums)]
-            tiles = tile(known, item)
-            span, got = best_passage(tiles, self.details[k])
-            covered = sum(n for _, _, n in tiles)
-            # A passage may begin or end with an altered word, which no tile shows.
-            if span >= min(PASSAGE - 1, len(item) * WHOLE) and got >= MATCHED * span or covered >= WHOLE * len(item):
-                yield item_id, span, covered, len(item), len(tiles)
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def is_leak(span: int, got: int, covered: int, size: int) -> bool:
+    """A passage may begin or end with an altered word, which no tile shows; a short item must be there nearly whole."""
+    return span >= min(PASSAGE - 1, size * WHOLE) and got >= MATCHED * span or covered >= WHOLE * size
+
+
+def may_leak(at: Column, size: Column, details: Column) -> Column:
+    """Whether seeds at these item positions leave room for a leak; every tile's words are covered by seeds inside it.
+
+    Either the seeds cover nearly the whole item, in whatever order, or there is a stretch of the item long enough for
+    a passage, with gaps as tiles may have, and covered well enough. Words that are details (``details``, positions) and
+    are not covered end a stretch, as they do for tiles.
+    """
+    need = F.least(F.lit(float(PASSAGE - 1)), size * F.lit(WHOLE))
+    cell = lambda *v: F.struct(*(x.cast("int").alias(n) for x, n in zip(v, ("start", "end", "got", "all", "best"))))
+
+    def step(s: Column, j: Column) -> Column:
+        broken = (j - s["end"] > GAP) | F.exists(details, lambda d: (d >= s["end"]) & (d < j)) | (s["end"] == 0)
+        more = F.least(F.lit(SEED), j + SEED - s["end"])
+        start, got = F.when(broken, j).otherwise(s["start"]), F.when(broken, F.lit(SEED)).otherwise(s["got"] + more)
+        best = F.when(j + SEED - start >= need, F.greatest(s["best"], got)).otherwise(s["best"])
+        return cell(start, j + SEED, got, s["all"] + F.when(s["end"] == 0, F.lit(SEED)).otherwise(more), best)
+
+    zero = F.lit(0)
+    done = F.aggregate(F.array_sort(at), cell(zero, zero, zero, zero, zero), step)
+    return (done["all"] >= size * F.lit(WHOLE)) | (done["best"] >= need * F.lit(MATCHED))
+
+
+def candidates(docs: DataFrame, items: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, item_id) whose common seeds leave room for a leak. Inputs have their words as ``numbers``."""
+    own = items.select("item_id", F.posexplode(_seeds(F.col("numbers"))).alias("at", "seed"))
+    few = own.limit(bound + 1).count() <= bound
+    met = docs.select("doc_id", F.explode(F.array_distinct(_seeds(F.col("numbers")))).alias("seed")).join(F.broadcast(own) if few else own, "seed")
+    # An item's positions are at most its words, however often the document repeats them.
+    pair = met.groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("at"))
+    least = F.least(F.lit(MATCHED * (PASSAGE - 1)), F.col("size") * F.lit(MATCHED * WHOLE))
+    spots = F.filter(F.transform("details", lambda x, k: F.when(x, k)), lambda k: k.isNotNull())
+    sizes = items.select("item_id", F.size("numbers").alias("size"), spots.alias("spots"))
+    pair = pair.join(sizes, "item_id").where(F.size("at") * SEED >= least)
+    return pair.where(may_leak(F.col("at"), F.col("size"), F.col("spots"))).select("doc_id", "item_id")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
     """One row per (doc_id, item_id) whose document carries the item or a long passage of it.
 
     Nulls: documents or items without id or text carry nothing. Empty texts have no words. Repeated items or documents
-    (same id) count once. Long texts are read whole. Items shorter than PASSAGE words must be there nearly whole.
+    (same id) count once. Long texts are read whole. Items shorter than PASSAGE words must be there nearly whole, and
+    items or matches shorter than a seed are no leaks.
     """
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = items.select("item_id", "text").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
-    found: DataFrame | None = None
-
-    def one_pass(block: list[tuple[int, list[str]]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(held.value)
-            for b in batches:
-                out = [(d, *x) for d, t in zip(b["doc_id"], b["text"]) for x in index.leaks(words_of(t))]
-                yield pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
-
-        return docs.mapInPandas(run, RESULT)
-
-    block: list[tuple[int, list[str]]] = []
-    seeds = 0
-    for r in rows.toLocalIterator():
-        block.append((r["item_id"], words_of(r["text"])))
-        seeds += len(block[-1][1])
-        if seeds >= block_seeds:
-            part = one_pass(block)
-            found = part if found is None else found.unionByName(part)
-            block, seeds = [], 0
-    if block or found is None:
-        part = one_pass(block)
-        found = part if found is None else found.unionByName(part)
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null").select("doc_id", _numbers(words_of(F.col("text"))).alias("numbers"))
+    rows = items.select("item_id", "text").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    words = rows.select("item_id", words_of(F.col("text")).alias("w"))
+    own = words.select("item_id", _numbers(F.col("w")).alias("numbers"), F.transform("w", lambda w: F.regexp_like(w, F.lit(r"\p{N}"))).alias("details"))
+    pairs = candidates(docs, own, bound)
+    full = pairs.join(docs.withColumnRenamed("numbers", "doc"), "doc_id").join(own.withColumnRenamed("numbers", "item"), "item_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, item_id, doc, item, details in zip(b["doc_id"], b["item_id"], b["doc"], b["item"], b["details"]):
+                tiles = tile(doc, item)
+                span, got = best_passage(tiles, list(details))
+                covered = sum(n for _, _, n in tiles)
+                if is_leak(span, got, covered, len(item)):
+                    out.append((doc_id, item_id, span, covered, len(item), len(tiles)))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
+
+    found = full.select("doc_id", "item_id", "doc", "item", "details").mapInPandas(run, RESULT)
     return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("passage_words", "matched_words", "item_words", "tiles")))

@@ -274,14 +274,45 @@ def test_leaks(spark):
         (7, None, 0),
         (8, "", 0),
         (9, "filler " * 50_000 + ITEM, 0),
+        (10, " and then ".join(" ".join(w[k : k + 4]) for k in range(len(w) - 4, -1, -4)), 0),
+        (11, " x ".join(" ".join(w[k : k + 3]) for k in range(len(w) - 3, -1, -3)), 0),
+        (12, "ＷＯＲＤ０ " + " ".join(w[1:]).replace("says", "sàys").replace("and", "and,"), 0),
+        (1, "again under the same id", 0),
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(1, ITEM, 5), (1, ITEM, 5), (2, None, 5), (3, "short one", 5)], "item_id bigint, text string, doc_id int")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, items, block_seeds=10).collect()}
-    assert got == {(1, 1), (2, 1), (4, 1), (6, 1), (9, 1)}
+    for bound in (10, 1_000_000):
+        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, items, bound).collect()}
+        assert got == {(1, 1), (2, 1), (4, 1), (6, 1), (9, 1), (10, 1), (11, 1), (12, 1)}
     assert leaks.find_leaks(d, items.limit(0)).count() == leaks.find_leaks(d.limit(0), items).count() == 0
 
 
+def test_no_leak_is_lost_before_tiling(spark):
+    """All pairs tiled by themselves against what the seed join lets through."""
+    rng = random.Random(12)
+    items = [[f"t{rng.randrange(300)}" if rng.random() < 0.9 else str(rng.randrange(9)) for _ in range(rng.choice([5, 12, 20, 25, 40]))] for _ in range(12)]
+    docs = []
+    for _ in range(120):
+        w = [f"t{rng.randrange(300)}" for _ in range(rng.randrange(0, 60))]
+        part = list(rng.choice(items))
+        size = rng.choice([1, 2, 3, 4, 5, 8, 20])
+        pieces = [part[k : k + size] for k in range(0, len(part), size)]
+        rng.shuffle(pieces) if rng.random() < 0.5 else None
+        part = [x if rng.random() > 0.05 else "zz" for p in pieces for x in p]
+        docs.append(w[:20] + part[: rng.randrange(3, len(part) + 1)] + w[20:])
+    want = set()
+    for i, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            ids = {x: n for n, x in enumerate({*doc, *item})}
+            tiles = leaks.tile([ids[x] for x in doc], [ids[x] for x in item])
+            span, got = leaks.best_passage(tiles, [any(c.isdigit() for c in x) for x in item])
+            if leaks.is_leak(span, got, sum(n for *_, n in tiles), len(item)):
+                want.add((i, k))
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    assert 10 < len(want) and {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, e).collect()} == want
+
+
 # -- mixing ----------------------------------------------------------------------------------------------------------
 def test_sainte_lague_against_brute_force():
     rng = random.Random(6)
