@@ -1,9 +1,9 @@
 """Matching rows of two tables without a shared key: scored candidate pairs, then loopy belief propagation.
 
-Candidates come from blocking keys that each join a piece of the reference or of the name with the tenant, a narrow
-band of the amount and a stretch of days, so blocks stay small whoever the tenant or counterparty is. Each pair gets
-a log-odds score. One-to-one factors over lines and records exchange messages through joins until they settle, and the
-marginal of a pair is its confidence.
+Candidates come from blocking keys that each join a piece of the reference or of the name with the tenant and a narrow
+band of the amount (a piece of the name also with a long stretch of days), so blocks stay small whoever the tenant or
+counterparty is. Each pair gets a log-odds score; unlikely pairs stay in as rivals. One-to-one factors over lines and
+records exchange messages through joins until they settle, and the marginal of a pair is its confidence.
 """
 
 from __future__ import annotations
@@ -22,14 +22,20 @@ REMARKS = r"\b(AGAINST BILL|PART|FINAL|ADV|THANKS|BILL NO|INVOICE|BILL|INV|REF|P
 FIXED_FEES = [295, 590, 1180, 1770]
 SHARE_FEES = [0.005, 0.01]
 
-#: Width of an amount band (natural log) and of a stretch of days. The stretch is the longest delay of a payment.
-BAND, DAYS = 0.01, 26
+#: Width of an amount band (natural log). What may be missing from the amount at most: a share and a fixed part.
+BAND, MOST_SHARE, MOST_FIXED = 0.02, 0.06, 3000
+#: A pair that shares pieces of the name only lies within this many days; one that shares the reference in any.
+NAME_DAYS = 120
+#: Days after which a delay begins to count against a pair, and how much a day costs (up to a most).
+USUAL_DAYS, LATE_DAY, LATE_MOST = 26, 0.15, 5.0
 
 #: Log-odds of agreement and disagreement.
-BIAS = -4.5
+BIAS = -4.3
 REF = {"equal": 7.5, "swapped": 4.0, "tail": 3.5, "other": -3.0, "none": 0.0}
-AMOUNT = {"equal": 2.5, "fee": 1.0, "rounded": 1.0}
+AMOUNT = {"equal": 2.5, "fee": 1.0, "rounded": 1.0, "short": -4.0}
 NAME_NEAR, NAME_CLOSE, NAME_OTHER = 4.0, 3.0, -5.0
+#: Beside an equal reference (or its end) a name that looks different weighs less: it may be cut off or badly typed.
+NAME_OTHER_REF = -1.5
 OTHER_COMMON = -1.0
 
 #: A word counts as common (a trade, a given name) in this share of distinct names, and in this many at least.
@@ -78,7 +84,7 @@ def common_words(records: DataFrame) -> list[str]:
     names = records.select("name").distinct()
     n = names.count()
     per = names.select(F.explode(F.array_distinct("name")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r.w for r in per.where((F.col("n") >= max(COMMON_LEAST, n * COMMON_SHARE)) & (F.length("w") >= 3)).select("w").orderBy("w").limit(5000).collect()]
+    return [r.w for r in per.where((F.col("n") >= max(COMMON_LEAST, n * COMMON_SHARE)) & (F.length("w") >= 3)).select("w").orderBy("w").collect()]
 
 
 def _split(name: Column, common: list[str]) -> tuple[Column, Column]:
@@ -90,36 +96,40 @@ def _split(name: Column, common: list[str]) -> tuple[Column, Column]:
     return F.filter(name, lambda w: ~is_common(w)), F.filter(name, lambda w: is_common(w))
 
 
-def _keys(df: DataFrame) -> Column:
-    """Pieces of reference and name that a true pair shares at least one of."""
+def _keys(df: DataFrame) -> tuple[Column, Column]:
+    """Pieces of the reference and pieces of the name, of which a true pair shares at least one."""
     digits = F.array_join(F.array_sort(F.split("core", "")), "")
     last4 = F.right(F.coalesce("core", "tail") if "tail" in df.columns else F.col("core"), F.lit(4))
     ref = F.array(F.concat(F.lit("t"), digits), F.concat(F.lit("s"), last4))
     heads = F.transform("rare", lambda w: F.concat(F.lit("h"), F.left(w, F.lit(3))))
     tails = F.transform("rare", lambda w: F.concat(F.lit("e"), F.right(w, F.lit(3))))
-    return F.filter(F.array_distinct(F.concat(ref, heads, tails)), lambda k: k.isNotNull())
+    return F.array_compact(ref), F.array_distinct(F.concat(heads, tails))
 
 
 def candidates(lines: DataFrame, records: DataFrame) -> DataFrame:
-    """Distinct (bank_line_id, id) pairs that share tenant, a key, a band of the amount and a stretch of days."""
+    """Distinct (bank_line_id, id) pairs that share tenant, a key and a band of the amount, and, sharing pieces of the
+    name only, a stretch of days. A record without a day is met in every stretch."""
     band = lambda c: F.floor(F.log(c) / BAND)
-    most = F.col("amount") * (1 + max(SHARE_FEES) * 1.02) + max(FIXED_FEES) + 1
-    span = F.floor(_days(F.col("day")) / DAYS)
-    left = lines.select("bank_line_id", "org_id", F.col("amount").alias("paid"), F.explode(_keys(lines)).alias("key"), F.sequence(band(F.col("amount")), band(most)).alias("bands"), F.array(span, span - 1, F.lit(-1)).alias("spans"))
-    left = left.withColumn("band", F.explode("bands")).withColumn("span", F.explode("spans")).select("bank_line_id", "paid", F.xxhash64("org_id", "key", "band", "span").alias("block"))
-    right = records.select("id", F.col("amount").alias("due"), F.explode(_keys(records)).alias("key"), "org_id", band(F.col("amount")).alias("band"), F.coalesce(span, F.lit(-1)).alias("span"))
-    right = right.select("id", "due", F.xxhash64("org_id", "key", "band", "span").alias("block"))
+    most = F.col("amount") / (1 - MOST_SHARE) + MOST_FIXED
+    span = F.floor(_days(F.col("day")) / NAME_DAYS)
+    both = lambda keys, spans: F.concat(F.transform(keys[0], lambda k: F.struct(k.alias("key"), F.lit(-2).cast("bigint").alias("span"))), F.flatten(F.transform(keys[1], lambda k: F.transform(spans, lambda s: F.struct(k.alias("key"), s.cast("bigint").alias("span"))))))
+    block = F.xxhash64("org_id", "k.key", "k.span", "band").alias("block")
+    left = lines.select("bank_line_id", "org_id", F.col("amount").alias("paid"), F.explode(both(_keys(lines), F.array(span, span - 1, F.lit(-1)))).alias("k"), F.sequence(band(F.col("amount")), band(most)).alias("bands"))
+    left = left.withColumn("band", F.explode("bands")).select("bank_line_id", "paid", block)
+    right = records.select("id", "org_id", F.col("amount").alias("due"), band(F.col("amount")).alias("band"), F.explode(both(_keys(records), F.array(F.coalesce(span, F.lit(-1))))).alias("k")).select("id", "due", block)
     return left.join(right, "block").where(amount_level(F.col("paid"), F.col("due")).isNotNull()).select("bank_line_id", "id").distinct()
 
 
 def amount_level(paid: Column, due: Column) -> Column:
-    """equal, fee (a known fee is missing), rounded (less than one major unit is missing), else null."""
+    """equal, fee (a usual fee is missing), rounded (less than one major unit is missing), short (anything up to the
+    most that may be missing), else null."""
     gap = due - paid
     shares = [F.abs(gap - F.rint(due * s)) <= 1 for s in SHARE_FEES]
     share = shares[0]
     for s in shares[1:]:
         share = share | s
-    return F.when(gap == 0, "equal").when(gap.isin(FIXED_FEES) | share, "fee").when((gap > 0) & (gap < 100), "rounded")
+    usual = F.when(gap == 0, "equal").when(gap.isin(FIXED_FEES) | share, "fee").when((gap > 0) & (gap < 100), "rounded")
+    return F.coalesce(usual, F.when((gap > 0) & (gap <= due * MOST_SHARE + MOST_FIXED), "short"))
 
 
 def scored(pairs: DataFrame, lines: DataFrame, records: DataFrame) -> DataFrame:
@@ -128,7 +138,7 @@ def scored(pairs: DataFrame, lines: DataFrame, records: DataFrame) -> DataFrame:
     right = records.select("id", F.col("org_id").alias("r_org"), F.col("amount").alias("due"), F.col("day").alias("r_day"), F.col("core").alias("r_core"), F.col("usual").alias("r_usual"), "glued", "pieces")
     x = pairs.join(left, "bank_line_id").join(right, "id").where(F.col("org_id") == F.col("r_org"))
     x = x.withColumn("level", amount_level(F.col("paid"), F.col("due"))).where("level is not null")
-    x = x.withColumn("gap", F.datediff("l_day", "r_day")).where(f"gap is null or gap between 0 and {DAYS}")
+    x = x.withColumn("gap", F.datediff("l_day", "r_day")).where("gap is null or gap >= 0")
     sorted_ = lambda c: F.array_sort(F.split(c, ""))
     ref = (
         F.when(F.col("l_core") == F.col("r_core"), REF["equal"])
@@ -140,49 +150,58 @@ def scored(pairs: DataFrame, lines: DataFrame, records: DataFrame) -> DataFrame:
     near = lambda w, v: F.greatest(similarity(w, v), opening_similarity(w, v))
     best = lambda a, b: F.aggregate(a, F.lit(0.0), lambda m, w: F.greatest(m, F.aggregate(b, F.lit(0.0), lambda n, v: F.greatest(n, near(w, v)))))
     x = x.withColumn("near", F.when(F.exists("l_rare", lambda w: F.contains("glued", w)), F.lit(0.95)).otherwise(best(F.col("l_rare"), F.col("pieces"))))
-    name = F.when(F.size("l_rare") == 0, 0.0).when(F.size("pieces") == 0, 0.0).when(F.col("near") >= 0.75, NAME_NEAR).when(F.col("near") >= 0.6, NAME_CLOSE).otherwise(NAME_OTHER)
+    name = F.when(F.size("l_rare") == 0, 0.0).when(F.size("pieces") == 0, 0.0).when(F.col("near") >= 0.75, NAME_NEAR).when(F.col("near") >= 0.52, NAME_CLOSE).when(ref.isin(REF["equal"], REF["tail"]), NAME_OTHER_REF).otherwise(NAME_OTHER)
     initial = lambda a, b: F.exists(a, lambda w: F.exists(b, lambda v: (F.left(w, F.lit(1)) == F.left(v, F.lit(1)))))
     clash = (F.size("l_usual") > 0) & (F.size("r_usual") > 0) & ~initial(F.col("l_usual"), F.col("r_usual"))
-    amount = F.when(F.col("level") == "equal", AMOUNT["equal"]).when(F.col("level") == "fee", AMOUNT["fee"]).otherwise(AMOUNT["rounded"])
-    when = F.when(F.col("gap").isNull(), -0.5).otherwise(0.0)
+    amount = F.lit(AMOUNT["short"])
+    for level in ("equal", "fee", "rounded"):
+        amount = F.when(F.col("level") == level, AMOUNT[level]).otherwise(amount)
+    when = F.when(F.col("gap").isNull(), -0.5).otherwise(-F.least(F.lit(LATE_MOST), F.greatest(F.lit(0.0), (F.col("gap") - USUAL_DAYS) * F.lit(LATE_DAY))))
     x = x.withColumn("score", ref + name + amount + when + F.when(clash, OTHER_COMMON).otherwise(0.0) + F.lit(BIAS))
     return x.select("bank_line_id", "id", "score", "level", "gap", "near", ref.alias("ref_score"))
 
 
-def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
+class NotSettledError(RuntimeError):
+    """Messages still move after the last round."""
+
+
+def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 300, tolerance: float = 1e-3, per_cut: int = 4) -> DataFrame:
     """Marginals of one-to-one matching by sum-product belief propagation over ``pairs`` (left, right, score).
 
-    Each row of either side takes part in one match at most. A pair that competes with none has a closed form and
-    sends no messages; the others exchange them by grouped sums and joins until no message moves by ``tolerance``
-    (the schedule is known to converge for this kind of graph; ``rounds`` is a guard). Adds ``confidence`` in (0, 1).
-    Repeated pairs count once with their best score; pairs with a null id or score are left out.
+    Each row of either side takes part in one match at most. A pair without any rival has a closed form and sends no
+    messages; the others exchange them by grouped sums and joins, ``per_cut`` exchanges to a written result, until no
+    message moves by ``tolerance``; if they still do after ``rounds``, that is a ``NotSettledError``, not a result.
+    Adds ``confidence`` in (0, 1) and ``rivals``, the other pairs of either end. Repeated pairs count once with their
+    best score; pairs with a null id or score are left out.
     """
     psi = F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(score))))
     x = pairs.select(left, right, psi.alias("psi")).dropna().groupBy(left, right).agg(F.max("psi").alias("psi"))
     n_left = x.groupBy(left).agg(F.count(F.lit(1)).alias("n_left"))
     n_right = x.groupBy(right).agg(F.count(F.lit(1)).alias("n_right"))
-    x = cut(x.join(n_left, left).join(n_right, right))
-    alone = x.where("n_left = 1 and n_right = 1").select(left, right, (F.col("psi") / (1 + F.col("psi"))).alias("confidence"))
-    live = x.where("not (n_left = 1 and n_right = 1)").select(left, right, "psi", F.lit(1.0).alias("nu"))
+    x = cut(x.join(n_left, left).join(n_right, right).withColumn("rivals", F.col("n_left") + F.col("n_right") - 2).drop("n_left", "n_right"))
+    alone = x.where("rivals = 0").select(left, right, (F.col("psi") / (1 + F.col("psi"))).alias("confidence"), "rivals")
+    live = x.where("rivals > 0").select(left, right, "psi", "rivals", F.lit(1.0).alias("nu"))
     if live.isEmpty():
         return alone
-    for _ in range(rounds):
-        sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
-        out = live.join(sums, left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
-        back = out.groupBy(right).agg(F.sum("mu").alias("t"))
-        new = 1 / (1 + F.greatest(F.lit(0.0), F.col("t") - F.col("mu")))
-        nxt = cut(out.join(back, right).select(left, right, "psi", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved")))
-        moved = nxt.agg(F.max("moved")).first()[0]
-        live = nxt.drop("moved")
-        if moved is None or moved < tolerance:
+    for _ in range(0, rounds, per_cut):
+        for _ in range(per_cut):
+            sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
+            out = live.join(sums, left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
+            back = out.groupBy(right).agg(F.sum("mu").alias("t"))
+            new = 1 / (1 + F.greatest(F.lit(0.0), F.col("t") - F.col("mu")))
+            live = out.join(back, right).select(left, right, "psi", "rivals", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved"))
+        live = cut(live)
+        if (live.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        raise NotSettledError(f"messages still move after {rounds} rounds")
     sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
-    done = live.join(sums, left).select(left, right, (F.col("psi") * F.col("nu") / (1 + F.col("s"))).alias("confidence"))
+    done = live.join(sums, left).select(left, right, (F.col("psi") * F.col("nu") / (1 + F.col("s"))).alias("confidence"), "rivals")
     return alone.unionByName(done)
 
 
 def match(bank_line: DataFrame, records: DataFrame) -> DataFrame:
-    """(bank_line_id, record_id, confidence) of every candidate pair, by belief propagation.
+    """(bank_line_id, record_id, confidence, rivals) of every candidate pair, by belief propagation.
 
     Nulls: a line without amount or day, a record without amount, and names or references that are null give no
     evidence, not an error. Repeated lines or records (same id) count once. Empty tables give an empty result.
@@ -197,6 +216,7 @@ def match(bank_line: DataFrame, records: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.concat("name", pairs))
     rows = cut(rows.withColumns({"rare": rare, "usual": usual, "glued": F.array_join("name", ""), "pieces": pieces}).drop("name"))
     pairs = scored(candidates(lines, rows), lines, rows)
-    # Below this score even an uncontested pair stays under a confidence of one in a hundred.
-    kept = pairs.where(F.col("score") > -math.log(99))
-    return propagate(kept, "bank_line_id", "id").select("bank_line_id", F.col("id").alias("record_id"), "confidence")
+    # Below this score even an uncontested pair stays under a confidence of one in ten thousand, and as a rival it takes
+    # as little from the others.
+    kept = pairs.where(F.col("score") > -math.log(9999))
+    return propagate(kept, "bank_line_id", "id").select("bank_line_id", F.col("id").alias("record_id"), "confidence", "rivals")

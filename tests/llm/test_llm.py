@@ -88,6 +88,32 @@ def test_propagation_is_exact_on_trees_and_close_on_loops(spark):
     assert entity_match.propagate(df.limit(0), "i", "j").count() == 0
 
 
+def test_propagation_says_when_it_has_not_settled(spark):
+    df = spark.createDataFrame([(i, j, 12.0) for i in range(2) for j in range(2)], "i int, j int, score double")
+    with pytest.raises(entity_match.NotSettledError):
+        entity_match.propagate(df, "i", "j", rounds=4)
+    # Two lines and two records that fit alike: each pair gets about a half.
+    got = entity_match.propagate(df, "i", "j").collect()
+    assert all(r["rivals"] == 2 and r["confidence"] == pytest.approx(0.5, abs=0.05) for r in got)
+
+
+def test_contested_pairs_go_by_marginals(spark):
+    """Rivals reach the propagation, and the better of them wins; a tie between equals is nobody's."""
+    d = dt.date(2025, 5, 1)
+    row = lambda i, ref, name, amount=100000, day=d: (i, "o", "ledger", "order", amount, day, None, ref, name, BASE)
+    rec = [row("r1", "BILL123456", "Zobemalibu Traders"), row("r2", "BILL123465", "Zobemalibu Traders"), row("r3", "PO 777777", "Kotulavipe Mart", 500000), row("r4", "PO 888888", "Kotulavipe Mart", 500000)]
+    rec += [row("r5", "SO-515151", "Fitorunozas Ltd", 1000000), row("r6", "SO-616161", "Lumakidero Ltd", 200000, d - dt.timedelta(days=70))]
+    line = lambda k, amount, text, day="2025-05-04": (k, "o", amount, day, "", text, "", "c")
+    lines = [line(1, "1,000.00", "NEFT CR BILL123456 ZOBEMALIBU"), line(2, "1000.00", "UPI BILL123465 ZOBEMALIBU"), line(3, "5000.00", "IMPS KOTULAVIPE")]
+    # A charge that is none of the usual ones, and a payment long after the order, both with the reference.
+    lines += [line(4, "9958.00", "NEFT CR SO515151 FITORUNOZAS"), line(5, "2000.00", "NEFT CR SO616161 LUMAKIDERO", "2025-05-20")]
+    m = entity_match.match(spark.createDataFrame(lines, LINE), spark.createDataFrame(rec, REC)).cache()
+    assert {(r["bank_line_id"], r["record_id"]) for r in m.where("confidence > 0.5").collect()} == {(1, "r1"), (2, "r2"), (4, "r5"), (5, "r6")}
+    tied = {r["record_id"]: r["confidence"] for r in m.where("bank_line_id = 3").collect()}
+    assert set(tied) == {"r3", "r4"} and all(0.3 < x <= 0.5 for x in tied.values())
+    assert m.where("bank_line_id in (1, 2) and rivals > 0").count() == 4
+
+
 REC = "id string, org_id string, source string, kind string, amount_minor bigint, value_date date, posted_date date, reference string, counterparty string, ingested_at timestamp"
 LINE = "bank_line_id bigint, org_id string, amount string, value_date string, posted_date string, narration string, account_no string, id string"
 
