@@ -165,12 +165,12 @@ class NotSettledError(RuntimeError):
     """Messages still move after the last round."""
 
 
-def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 300, tolerance: float = 1e-3, per_cut: int = 4) -> DataFrame:
+def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 300, tolerance: float = 1e-3) -> DataFrame:
     """Marginals of one-to-one matching by sum-product belief propagation over ``pairs`` (left, right, score).
 
     Each row of either side takes part in one match at most. A pair without any rival has a closed form and sends no
-    messages; the others exchange them by grouped sums and joins, ``per_cut`` exchanges to a written result, until no
-    message moves by ``tolerance``; if they still do after ``rounds``, that is a ``NotSettledError``, not a result.
+    messages; the others exchange them by grouped sums and joins, each exchange written out, until no message moves by
+    ``tolerance``; if they still do after ``rounds``, that is a ``NotSettledError``, not a result.
     Adds ``confidence`` in (0, 1) and ``rivals``, the other pairs of either end. Repeated pairs count once with their
     best score; pairs with a null id or score are left out.
     """
@@ -183,14 +183,12 @@ def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rou
     live = x.where("rivals > 0").select(left, right, "psi", "rivals", F.lit(1.0).alias("nu"))
     if live.isEmpty():
         return alone
-    for _ in range(0, rounds, per_cut):
-        for _ in range(per_cut):
-            sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
-            out = live.join(sums, left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
-            back = out.groupBy(right).agg(F.sum("mu").alias("t"))
-            new = 1 / (1 + F.greatest(F.lit(0.0), F.col("t") - F.col("mu")))
-            live = out.join(back, right).select(left, right, "psi", "rivals", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved"))
-        live = cut(live)
+    for _ in range(rounds):
+        sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
+        out = live.join(sums, left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
+        back = out.groupBy(right).agg(F.sum("mu").alias("t"))
+        new = 1 / (1 + F.greatest(F.lit(0.0), F.col("t") - F.col("mu")))
+        live = cut(out.join(back, right).select(left, right, "psi", "rivals", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved")))
         if (live.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
     else:
