@@ -26,7 +26,7 @@ def p1_row_quarantined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return Q.loaded(_classified(spark, d)).withColumn("cells", F.to_json("cells"))
+    return Q.loaded(_classified(spark, d)).withColumns({c: F.to_json(c) for c in ("cells", "amounts", "dates")})
 
 
 def p1_source_ingested(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Each worker hands the rows it holds of one file to DuckDB's CSV reader with reject tables, in blocks of bounded size, so
 a file that holds a third of all rows is spread over many tasks. Every row is written behind a tag with its own
-identity, so both typed rows and rejects lead back to the raw row they came from.
+identity, so both typed rows and rejects lead back to the raw row they came from. The kind of a reject names the reason;
+exact checks of the raw row follow where the reader is laxer than the rules.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import tempfile
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import ship
+
 #: Separators, markers of totals rows, and the columns that are checked by value.
 SEPARATORS = [",", ";", "|", "\t"]
 TOTALS = ["total", "grand total", "opening balance", "closing balance"]
@@ -40,8 +44,14 @@ SCHEMA = T.StructType(
         T.StructField("reason", T.StringType()),
         T.StructField("raw", T.StringType()),
         T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("amounts", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("dates", T.MapType(T.StringType(), T.DateType())),
     ]
 )
+#: What the reader's complaints say about a row.
+REJECTS = {"UNQUOTED VALUE": "quoting", "MISSING COLUMNS": "column_count", "TOO MANY COLUMNS": "column_count"}
+#: Most currency codes that are taken to the workers.
+MOST_CODES = 100_000
 
 
 def separator_of(header: str) -> str:
@@ -92,30 +102,41 @@ def is_skipped(cells: list[str]) -> bool:
     return len(rest) < len(filled) and all(_NUMBER.fullmatch(c) for c in rest)
 
 
-def _value_conditions(names: list[str], source: str) -> list[str]:
-    """SQL conditions over the read columns ``c<i>``, any of which makes a row a failure by value."""
-    at = {n: f"trim(c{i}, e' \\t\\r\\n')" for i, n in reversed(list(enumerate(names)))}
+def _cell(i: int) -> str:
+    return f"trim(c{i}, e' \\t\\r\\n')"
+
+
+def _day(c: str) -> str:
+    return (
+        f"case when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({c} as date)"
+        f" when regexp_full_match({c}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') then try_cast(right({c}, 4) || '-' || substr({c}, 4, 2) || '-' || left({c}, 2) as date)"
+        f" when regexp_full_match({c}, '[0-9]{{10}}') then cast(make_timestamp(cast({c} as bigint) * 1000000) as date)"
+        f" when regexp_full_match({c}, '[0-9]{{13}}') then cast(make_timestamp(cast({c} as bigint) * 1000) as date) end"
+    )
+
+
+def _typed(names: list[str], source: str) -> tuple[str, list[str], list[str]]:
+    """SQL over the read columns ``c<i>``: what makes a row a failure by value, then its amounts and its dates.
+
+    Amounts are whole minor units: bank and ledger write major ones. Null where the column is missing or empty.
+    """
+    at = {n: _cell(i) for i, n in reversed(list(enumerate(names)))}
     decimals = r"(\.[0-9]{1,2})?" if source in ("bank", "ledger") else ""
-    out = []
+    bad, amounts, dates = [], [], []
     for group in (MAIN_AMOUNTS, MAIN_DATES):
         main = next((n for n in group if n in at), None)
-        out.append(f"coalesce({at[main]}, '') = ''" if main else "true")
+        bad.append(f"coalesce({at[main]}, '') = ''" if main else "true")
     for n in AMOUNTS:
         if n in at:
-            out.append(f"(coalesce({at[n]}, '') <> '' and not regexp_full_match({at[n]}, '[+-]?[0-9][0-9,]*{decimals}'))")
+            bad.append(f"(coalesce({at[n]}, '') <> '' and not regexp_full_match({at[n]}, '[+-]?[0-9][0-9,]*{decimals}'))")
+            amounts.append(f"try_cast(try_cast(replace({at[n]}, ',', '') as decimal(30, 2)) * {100 if decimals else 1} as bigint)")
     for n in DATES:
         if n in at:
-            c = at[n]
-            day = (
-                f"case when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({c} as date)"
-                f" when regexp_full_match({c}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') then try_cast(right({c}, 4) || '-' || substr({c}, 4, 2) || '-' || left({c}, 2) as date)"
-                f" when regexp_full_match({c}, '[0-9]{{10}}') then cast(make_timestamp(cast({c} as bigint) * 1000000) as date)"
-                f" when regexp_full_match({c}, '[0-9]{{13}}') then cast(make_timestamp(cast({c} as bigint) * 1000) as date) end"
-            )
-            out.append(f"(coalesce({c}, '') <> '' and coalesce({day} not between date '{FIRST_DAY}' and date '{LAST_DAY}', true))")
+            bad.append(f"(coalesce({at[n]}, '') <> '' and coalesce({_day(at[n])} not between date '{FIRST_DAY}' and date '{LAST_DAY}', true))")
+            dates.append(_day(at[n]))
     if "currency" in at:
-        out.append(f"(coalesce({at['currency']}, '') <> '' and upper({at['currency']}) not in (select code from codes))")
-    return out
+        bad.append(f"(coalesce({at['currency']}, '') <> '' and upper({at['currency']}) not in (select code from codes))")
+    return " or ".join(bad), amounts, dates
 
 
 class BlockReader:
@@ -141,18 +162,17 @@ class BlockReader:
         """Fills table ``got`` (tag, c0..cn); returns the tags in it and the reader's complaints by tag."""
         self.count += 1
         path = os.path.join(self.scratch.name, f"block-{self.count}.csv")
-        starts, at = [], 0
+        starts, at, longest = [], 0, 4096
         with open(path, "wb") as f:
             for tag, line in zip(tags, lines):
                 row = f"{tag}{sep}{line}\n".encode("utf-8", "replace")
                 starts.append(at)
                 at += len(row)
+                longest = max(longest, len(row))
                 f.write(row)
-        longest = max(4096, max((len(x.encode("utf-8", "replace")) for x in lines), default=0) + 64)
         columns = "{" + ", ".join(["'tag': 'VARCHAR'", *(f"'c{i}': 'VARCHAR'" for i in range(len(names)))]) + "}"
-        self.con.execute("drop table if exists got")
-        self.con.execute("drop table if exists reject_scans")
-        self.con.execute("drop table if exists reject_errors")
+        for t in ("got", "reject_scans", "reject_errors"):
+            self.con.execute(f"drop table if exists {t}")
         self.con.execute(
             f"create temp table got as select try_cast(tag as bigint) as tag, * exclude (tag) from read_csv($path, auto_detect = false, header = false,"
             f" delim = '{sep}', quote = '\"', escape = '\"', columns = {columns}, strict_mode = true, null_padding = false, parallel = false,"
@@ -161,16 +181,14 @@ class BlockReader:
         )
         got = {r[0] for r in self.con.execute("select distinct tag from got where tag is not null").fetchall()}
         complaints: dict[int, str] = {}
-        by_start = dict(zip(starts, tags))
-        for start, kind in self.con.execute("select line_byte_position, error_type from reject_errors").fetchall():
-            tag = by_start.get(start)
-            if tag is not None:
-                complaints.setdefault(tag, str(kind))
+        # Positions count from one; the raw row is the one that the position lies in.
+        for start, kind in self.con.execute("select line_byte_position, error_type from reject_errors order by line_byte_position, byte_position").fetchall():
+            complaints.setdefault(tags[bisect.bisect_right(starts, start - 1) - 1], str(kind))
         os.unlink(path)
         return got - complaints.keys(), complaints
 
     def read(self, rows: pd.DataFrame, header: str, source: str) -> pd.DataFrame:
-        """Status, reason and cells for each of ``rows`` (line, one raw row each) of a file with ``header``."""
+        """Status, reason, cells and typed values for each of ``rows`` (line, one raw row each) of a file with ``header``."""
         sep = separator_of(header)
         names = names_of(header, sep)
         lines = [("" if x is None else x).removesuffix("\r") for x in rows["line"]]
@@ -178,54 +196,67 @@ class BlockReader:
         reason: list[str | None] = [None] * n
         status = [STATUS_LOADED] * n
         cells: list[dict | None] = [None] * n
+        amounts: list[dict | None] = [None] * n
+        dates: list[dict | None] = [None] * n
         grammar = re.compile(row_grammar(sep))
-        conditions = " or ".join(_value_conditions(names, source))
-
-        def explain(tag: int) -> None:
-            """Exact reason for a row that the reader did not return."""
-            if not grammar.fullmatch(lines[tag]):
+        bad, amount_sql, date_sql = _typed(names, source)
+        amount_names, date_names = [x for x in AMOUNTS if x in names], [x for x in DATES if x in names]
+        typed = ", ".join([*amount_sql, *date_sql, f"({bad}) as bad"])
+        # Each enclosed cell holds an even number of quote marks and no other cell any: an odd number is a fault, and a
+        # row that would run on over its successors.
+        open_rows = {i for i in range(n) if lines[i].count('"') % 2}
+        for i in open_rows:
+            reason[i] = "quoting"
+        todo = [i for i in range(n) if i not in open_rows]
+
+        def rejected(tag: int, kind: str | None) -> None:
+            """The reason is the reader's; a fault of quoting comes first, which only rows with quote marks can have."""
+            line = lines[tag]
+            if '"' in line and not grammar.fullmatch(line):
                 reason[tag] = "quoting"
-            elif is_skipped(loose := loose_cells(lines[tag], sep)):
+            elif is_skipped(loose := loose_cells(line, sep)):
                 status[tag] = STATUS_SKIPPED
             else:
-                reason[tag] = "column_count" if len(loose) != len(names) else "value"
+                found = REJECTS.get(kind or "")
+                reason[tag] = found if found and found != "quoting" else "column_count" if len(loose) != len(names) else "value"
 
-        def one_pass(tags: list[int]) -> None:
+        def one_pass(tags: list[int]) -> set[int]:
             got, complaints = self._read(tags, [lines[t] for t in tags], names, sep)
-            table = self.con.execute(f"select *, ({conditions}) as bad from got").fetchall()
-            for tag, *values, bad in table:
-                if tag in got:
-                    got.discard(tag)
-                    row = ["" if v is None else v for v in values]
-                    cells[tag] = dict(zip(names, row))
-                    # Exact checks behind the reader: it lets a quote mark pass inside a cell that is not enclosed.
-                    if '"' in lines[tag] and not grammar.fullmatch(lines[tag]):
-                        reason[tag] = "quoting"
-                    elif is_skipped(row):
-                        status[tag] = STATUS_SKIPPED
-                    elif lines[tag].endswith(sep) and len(loose_cells(lines[tag], sep)) != len(names):
-                        # It also lets one empty cell too many pass at the end of a row.
-                        reason[tag] = "column_count"
-                    elif bad:
-                        reason[tag] = "value"
-                    done.add(tag)
-            for tag in complaints:
-                if tag in done:
+            done = set(complaints)
+            k, m = len(names), len(names) + len(amount_names)
+            for tag, *row in self.con.execute(f"select *, {typed} from got").fetchall():
+                if tag not in got or tag in done:
                     continue
                 done.add(tag)
-                explain(tag)
-
-        done: set[int] = set()
-        # A row with an odd number of quote marks can run on over its successors, so it is read by itself.
-        odd = [i for i in range(n) if lines[i].count('"') % 2]
-        even = [i for i in range(n) if not lines[i].count('"') % 2]
-        if even:
-            one_pass(even)
-        for i in [*odd, *(i for i in even if i not in done)]:
-            one_pass([i])
-            if i not in done:
-                explain(i)
+                line, read = lines[tag], ["" if v is None else v for v in row[:k]]
+                # It lets a quote mark pass inside a cell that is not enclosed, and an empty cell too many at the end.
+                if '"' in line and not grammar.fullmatch(line):
+                    reason[tag] = "quoting"
+                elif is_skipped(read):
+                    status[tag] = STATUS_SKIPPED
+                elif line.endswith((sep, '""')) and len(loose_cells(line, sep)) != k:
+                    reason[tag] = "column_count"
+                elif row[-1]:
+                    reason[tag] = "value"
+                else:
+                    cells[tag] = dict(zip(names, read))
+                    amounts[tag], dates[tag] = dict(zip(amount_names, row[k:m])), dict(zip(date_names, row[m:-1]))
+            for tag, kind in complaints.items():
+                rejected(tag, kind)
+            return done
+
+        # Rows that a faulty one before them swallowed are read again without it.
+        while todo:
+            done = one_pass(todo)
+            rest = [i for i in todo if i not in done]
+            if len(rest) == len(todo):
+                for i in rest:
+                    if '"' in lines[i] and not grammar.fullmatch(lines[i]) or i not in one_pass([i]):
+                        rejected(i, None)
+                break
+            todo = rest
         status = [STATUS_FAILED if r else s for r, s in zip(reason, status)]
+        good = [s == STATUS_LOADED for s in status]
         return pd.DataFrame(
             {
                 "line_id": rows["line_id"].array,
@@ -234,32 +265,37 @@ class BlockReader:
                 "status": status,
                 "reason": reason,
                 "raw": rows["line"].array,
-                "cells": [c if s == STATUS_LOADED else None for c, s in zip(cells, status)],
+                **{name: [c if g else None for c, g in zip(values, good)] for name, values in (("cells", cells), ("amounts", amounts), ("dates", dates))},
             }
         )
 
 
 def classify_rows(raw_line: DataFrame, source_file: DataFrame, fx_rate: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every raw row with ``status`` (loaded, failed, skipped), ``reason`` of a failure and its ``cells`` when loaded.
+    """Every raw row with ``status`` (loaded, failed, skipped), ``reason`` of a failure and, when loaded, its ``cells`` as
+    text and typed: ``amounts`` in minor units and ``dates``, by column name.
 
     Nulls and edge cases: a null line counts as blank and is skipped; rows of a file without a known header fail with
     ``column_count``; repeated rows are each judged; texts of any length are read whole; empty tables give no rows;
-    extra columns of the inputs are ignored. ``fx_rate`` (one row per currency code) is a dimension collected to the
+    extra columns of the inputs are ignored, but for ``part``, which says where ``line_no`` begins anew. ``fx_rate`` (one row per currency code) is a dimension collected to the
     driver: at most a few hundred ISO codes.
     """
-    codes = [r[0] for r in fx_rate.select("currency").where("currency is not null").distinct().limit(100_000).collect()]
+    ship(raw_line.sparkSession)
+    codes = [r[0] for r in fx_rate.select("currency").where("currency is not null").distinct().limit(MOST_CODES + 1).collect()]
+    if len(codes) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} currency codes")
     files = source_file.select(F.col("file_hash"), F.col("header").alias("_header"), F.col("source").alias("_source")).where("header is not null")
-    lines = raw_line.select("line_id", "file_hash", F.col("line_no").cast("int").alias("line_no"), "line")
+    part = F.col("part").cast("bigint") if "part" in raw_line.columns else F.lit(0).cast("bigint")
+    lines = raw_line.select("line_id", "file_hash", F.col("line_no").cast("int").alias("line_no"), "line", part.alias("_part"))
     # Blocks of one file: bounded by the row number, so a hot file is spread over many tasks.
     placed = lines.join(files, "file_hash", "left").withColumn("_block", F.floor(F.coalesce("line_no", F.lit(0)) / block_rows))
-    placed = placed.repartition(F.col("file_hash"), F.col("_block")).sortWithinPartitions("file_hash", "_block", "line_no", "line_id")
+    placed = placed.repartition("file_hash", "_part", "_block").sortWithinPartitions("file_hash", "_part", "_block", "line_no", "line_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = BlockReader(codes)
         try:
             for batch in batches:
                 known = batch["_header"].notna()
-                for (_, _), rows in batch[known].groupby(["file_hash", "_block"], sort=False):
+                for _, rows in batch[known].groupby(["file_hash", "_part", "_block"], sort=False):
                     for k in range(0, len(rows), block_rows):
                         part = rows.iloc[k : k + block_rows]
                         yield reader.read(part.reset_index(drop=True), part["_header"].iloc[0], part["_source"].iloc[0])
@@ -274,6 +310,8 @@ def classify_rows(raw_line: DataFrame, source_file: DataFrame, fx_rate: DataFram
                             "reason": "column_count",
                             "raw": rest["line"].array,
                             "cells": None,
+                            "amounts": None,
+                            "dates": None,
                         }
                     )
         finally:
@@ -288,8 +326,8 @@ def quarantined(classified: DataFrame) -> DataFrame:
 
 
 def loaded(classified: DataFrame) -> DataFrame:
-    """The loadable rows; ``cells`` maps the file's column names to text."""
-    return classified.where(F.col("status") == STATUS_LOADED).select("line_id", "file_hash", "line_no", "cells")
+    """The loadable rows: ``cells`` maps the file's column names to text, ``amounts`` and ``dates`` to typed values."""
+    return classified.where(F.col("status") == STATUS_LOADED).select("line_id", "file_hash", "line_no", "cells", "amounts", "dates")
 
 
 def per_file(classified: DataFrame) -> DataFrame:

@@ -117,6 +117,14 @@ CASES = [
     ("a,1.00,2025-01-01,x\r", None),
     ("a,1.00,2025-01-01," + "y" * 300_000, None),
     ("a,1.00,2025-01-01,after", None),
+    ('a,1.00,2025-01-01,x,""', "column_count"),
+    ("a,1.00,2025-01-01,x,", "column_count"),
+    ('a,1.00,2025-01-01,""', None),
+    ('a,1.00,2025-01-01,"a"b"c"', "quoting"),
+    ('a,1.00,2025-01-01, "x"', "quoting"),
+    ('"a,1.00","2025-01-01,x""', "quoting"),
+    ('a,"1,234.50",31/12/2034,"x;y"', None),
+    ('Total,,"10,5",', "skipped"),
 ]
 
 
@@ -131,10 +139,28 @@ def test_cases_repeated_rows_and_clashing_columns(spark):
             assert (got[k]["reason"] or ("skipped" if got[k]["status"] == "skipped" else None)) == want, line
             assert got[k]["raw"] == line
     assert got[5]["cells"]["remarks"] == 'line\nbreak, and "quote"'
+    assert got[0]["amounts"] == {"order_total": 100} and got[0]["dates"] == {"order_date": datetime.date(2025, 1, 1)}
+    big = next(i for i, (x, _) in enumerate(CASES) if x and "1,234.50" in x)
+    assert got[big]["amounts"] == {"order_total": 123450} and got[big]["dates"] == {"order_date": datetime.date(2034, 12, 31)}
+    assert got[6]["amounts"] is None
     counted = {r["file_hash"]: r for r in Q.per_file(Q.classify_rows(raw, files, fx)).collect()}["f"]
     assert counted["rows_in"] == counted["rows_ok"] + counted["rows_quarantined"]
 
 
+def test_rows_of_a_block_take_few_reads(monkeypatch):
+    """However many rows are open or swallow others, a block is read a few times, not once a row."""
+    import pandas as pd
+
+    reader, reads = Q.BlockReader(["INR"]), []
+    plain = reader._read
+    monkeypatch.setattr(reader, "_read", lambda tags, *a: reads.append(len(tags)) or plain(tags, *a))
+    lines = ['a,1.00,2025-01-01,"open', 'a,1.00,2025-01-01,"x"y"z"', "a,1.00,2025-01-01,fine"] * 300
+    out = reader.read(pd.DataFrame({"line_id": range(900), "file_hash": "f", "line_no": range(900), "line": lines}), HEADER, "ledger")
+    reader.close()
+    assert out["reason"].tolist() == ["quoting", "quoting", None] * 300
+    assert len(reads) < 10
+
+
 def test_unknown_file_and_empty_table(spark):
     raw = spark.createDataFrame([(1, "g", 1, "a,b")], "line_id bigint, file_hash string, line_no int, line string")
     files = spark.createDataFrame([], "file_hash string, header string, source string")
