@@ -21,13 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 #: Words of a seed and of the shortest tile: every tile holds a seed.
 SEED = TILE = 3
 #: Shortest passage and least share of matched words in it; share of a whole item in any order.
 PASSAGE, MATCHED, WHOLE = 20, 0.8, 0.85
 #: Words between two tiles of one passage, at most.
 GAP = 3
-#: Seeds of items up to which they are broadcast (about 40 bytes each).
+#: Bits of an item's positions that a pair keeps.
+CELLS = 256
+#: Seeds of items, and ids of documents that met one, up to which they are broadcast (about 40 bytes each).
 BROADCAST_SEEDS = 1_000_000
 
 RESULT = "doc_id bigint, item_id bigint, passage_words int, matched_words int, item_words int, tiles int"
@@ -144,40 +148,62 @@ def is_leak(span: int, got: int, covered: int, size: int) -> bool:
     return span >= min(PASSAGE - 1, size * WHOLE) and got >= MATCHED * span or covered >= WHOLE * size
 
 
-def may_leak(at: Column, size: Column, details: Column) -> Column:
+def may_leak(bits: int, size: int, details: list[int], width: int = 1) -> bool:
     """Whether seeds at these item positions leave room for a leak; every tile's words are covered by seeds inside it.
 
-    Either the seeds cover nearly the whole item, in whatever order, or there is a stretch of the item long enough for
-    a passage, with gaps as tiles may have, and covered well enough. Words that are details (``details``, positions) and
-    are not covered end a stretch, as they do for tiles.
+    ``bits`` has a bit for each ``width`` positions at which a seed begins. Either the seeds cover nearly the whole
+    item, in whatever order, or there is a stretch of the item long enough for a passage, with gaps as tiles may have,
+    and covered well enough. Words that are details (positions) and are not covered end a stretch, as they do for tiles.
     """
-    need = F.least(F.lit(float(PASSAGE - 1)), size * F.lit(WHOLE))
-    cell = lambda *v: F.struct(*(x.cast("int").alias(n) for x, n in zip(v, ("start", "end", "got", "all", "best"))))
-
-    def step(s: Column, j: Column) -> Column:
-        broken = (j - s["end"] > GAP) | F.exists(details, lambda d: (d >= s["end"]) & (d < j)) | (s["end"] == 0)
-        more = F.least(F.lit(SEED), j + SEED - s["end"])
-        start, got = F.when(broken, j).otherwise(s["start"]), F.when(broken, F.lit(SEED)).otherwise(s["got"] + more)
-        best = F.when(j + SEED - start >= need, F.greatest(s["best"], got)).otherwise(s["best"])
-        return cell(start, j + SEED, got, s["all"] + F.when(s["end"] == 0, F.lit(SEED)).otherwise(more), best)
-
-    zero = F.lit(0)
-    done = F.aggregate(F.array_sort(at), cell(zero, zero, zero, zero, zero), step)
-    return (done["all"] >= size * F.lit(WHOLE)) | (done["best"] >= need * F.lit(MATCHED))
+    need = min(PASSAGE - 1, size * WHOLE)
+    start = end = got = total = 0
+    room = False
+    while bits:
+        low = bits & -bits
+        bits ^= low
+        at = (low.bit_length() - 1) * width
+        to = min(size, at + width - 1 + SEED)
+        total += to - max(end, at)
+        if not got or at - end > GAP or any(end <= d < at for d in details):
+            start, got = at, to - at
+        else:
+            got += to - max(end, at)
+        end = to
+        room |= end - start >= need and got >= MATCHED * need
+    return room or total >= WHOLE * size
 
 
 def candidates(docs: DataFrame, items: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id) whose common seeds leave room for a leak. Inputs have their words as ``numbers``."""
+    """(doc_id, item_id) whose common seeds leave room for a leak. Inputs have their words as ``numbers``.
+
+    The positions at which a document meets an item are kept as CELLS bits; items of more words than that share bits
+    between neighbours, which lets more through and loses nothing.
+    """
     own = items.select("item_id", F.posexplode(_seeds(F.col("numbers"))).alias("at", "seed"))
     few = own.limit(bound + 1).count() <= bound
+    longest = items.agg(F.max(F.size("numbers"))).first()[0] or 1
+    width = -(-longest // CELLS)
+    # A document's seeds are distinct, so each position of an item is met once.
     met = docs.select("doc_id", F.explode(F.array_distinct(_seeds(F.col("numbers")))).alias("seed")).join(F.broadcast(own) if few else own, "seed")
-    # An item's positions are at most its words, however often the document repeats them.
-    pair = met.groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("at"))
+    cell = F.floor(F.col("at") / width)
+    mask = lambda k: F.bit_or(F.when(F.floor(cell / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}")
+    masks = [f"m{k}" for k in range(min(CELLS, longest) // 64 + 1)]
+    pair = met.groupBy("doc_id", "item_id").agg(*(mask(k) for k in range(len(masks))))
     least = F.least(F.lit(MATCHED * (PASSAGE - 1)), F.col("size") * F.lit(MATCHED * WHOLE))
     spots = F.filter(F.transform("details", lambda x, k: F.when(x, k)), lambda k: k.isNotNull())
     sizes = items.select("item_id", F.size("numbers").alias("size"), spots.alias("spots"))
-    pair = pair.join(sizes, "item_id").where(F.size("at") * SEED >= least)
-    return pair.where(may_leak(F.col("at"), F.col("size"), F.col("spots"))).select("doc_id", "item_id")
+    # Words that the seeds cover: each bit and its two successors, some of which lie in the next mask.
+    over = [F.lit(0).cast("bigint"), *(F.shiftrightunsigned(m, 62) for m in masks[:-1])]
+    wide = [F.col(m).bitwiseOR(F.shiftleft(m, 1)).bitwiseOR(F.shiftleft(m, 2)).bitwiseOR(o).bitwiseOR(F.shiftrightunsigned(o, 1)) for m, o in zip(masks, over)]
+    covered = sum((F.bit_count(w) for w in wide[1:]), F.bit_count(wide[0])) * width
+    pair = pair.join(sizes, "item_id").where(covered >= least)
+
+    @F.pandas_udf("boolean")
+    def room(held: pd.Series, sizes: pd.Series, at: pd.Series) -> pd.Series:
+        whole = (sum((int(m) & (1 << 64) - 1) << 64 * k for k, m in enumerate(ms)) for ms in held)
+        return pd.Series([may_leak(b, n, d.tolist(), width) for b, n, d in zip(whole, sizes, at)], dtype="bool")
+
+    return pair.where(room(F.array(*masks), "size", "spots")).select("doc_id", "item_id")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
@@ -187,12 +213,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, bound: int = BROADCAST_SE
     (same id) count once. Long texts are read whole. Items shorter than PASSAGE words must be there nearly whole, and
     items or matches shorter than a seed are no leaks.
     """
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null").select("doc_id", _numbers(words_of(F.col("text"))).alias("numbers"))
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    numbers = _numbers(words_of(F.col("text")))
     rows = items.select("item_id", "text").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     words = rows.select("item_id", words_of(F.col("text")).alias("w"))
     own = words.select("item_id", _numbers(F.col("w")).alias("numbers"), F.transform("w", lambda w: F.regexp_like(w, F.lit(r"\p{N}"))).alias("details"))
-    pairs = candidates(docs, own, bound)
-    full = pairs.join(docs.withColumnRenamed("numbers", "doc"), "doc_id").join(own.withColumnRenamed("numbers", "item"), "item_id")
+    pairs = written(candidates(texts.select("doc_id", numbers.alias("numbers")), own, bound), "pairs")
+    met = pairs.select("doc_id").distinct()
+    # Only documents that met an item are read into words again.
+    full = texts.join(F.broadcast(met) if pairs.limit(bound + 1).count() <= bound else met, "doc_id").select("doc_id", numbers.alias("doc"))
+    full = full.join(pairs, "doc_id").join(own.withColumnRenamed("numbers", "item"), "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
