@@ -224,30 +224,70 @@ def test_slips():
     assert [names.slips("ABCD", x) for x in ("ABCD", "ABDC", "ABC", "AXCD", "BADC", "WXYZ")] == [0, 1, 1, 1, 2, 3]
 
 
-def test_spellings(spark):
+def grouped(spark, spellings):
+    df = spark.createDataFrame([(x, i, "clash") for i, x in enumerate(spellings)], "counterparty string, n int, spelling string")
+    by = {}
+    for r in names.resolve(df).collect():
+        by.setdefault(r["party"], set()).add(r["spelling"])
+    return sorted(map(sorted, by.values()))
+
+
+def test_few_spellings(spark):
+    """Tables too small to learn from: usual short forms, other endings, initials, slips; nothing joins on a surname alone."""
     parties = [
         ["Mohammed S Mipozunuzir", "MOHD MIPOZUNUZIR", "Mipozunuzir, Mohammed", "mohd. s mipozunzuir", "Mohámmed Mipozunuzir "],
         ["Katherine Mipozunuzir", "KATE MIPOZUNUZIR"],
-        ["Fitorunozas Garments Ltd", "M/S. FITORUNOZAS GRMNTS", "FitorunozasGarments Limited", "garment fitoruonzas", "Fitorunozas Pvt Ltd"],
-        ["Zubomidilir Chemicals LLP", "Zubomidilir Chem."],
-        ["Zubomidilir Motors"],
-        ["Zubomidilir"],  # two firms fit: stays alone
-        ["", " "][:1],
-        ["Q" * 5000],
+        ["Anthony Zubomidilir", "Tony Zubomidilir", "ZUBOMIDILIR, TONY"],
+        ["Zubomidilir Bakery", "Zubomidilir Bakeries Ltd"],
+        ["Michael Fitorunozas", "Mike Fitorunozas", "Fitorunozas Mick"],
+        ["Zadok Lumakidero", "LUMAKIDERO, Z.", "Lumakidero Zadok"],
+        ["Perin Gotavulise"], ["Osla Gotavulise"], ["Gotavulise"],
+        [""], ["Q" * 5000],
     ]
-    rows = [(s, i, "clash") for i, p in enumerate(parties) for s in p for _ in range(2)] + [(None, 9, "clash")]
-    df = spark.createDataFrame(rows, "counterparty string, n int, spelling string")
-    got = names.resolve(df).collect()
-    assert len(got) == sum(map(len, parties))
-    by = {}
-    for r in got:
-        by.setdefault(r["party"], set()).add(r["spelling"])
-    assert sorted(map(sorted, by.values())) == sorted(map(sorted, parties))
-    n = names.links(names.resolve(df)).count()
-    assert n == sum(len(p) * (len(p) - 1) // 2 for p in parties)
+    flat = [s for p in parties for s in p]
+    assert grouped(spark, [*flat, *flat, None]) == sorted(map(sorted, parties))
+    df = spark.createDataFrame([(x,) for x in flat], "counterparty string")
+    got = names.resolve(df)
+    assert names.links(got).count() == sum(len(p) * (len(p) - 1) // 2 for p in parties)
+    reps = names.representatives(got).collect()
+    assert sum(r["spellings"] for r in reps) == len(flat) and len(reps) == len(parties)
     assert names.resolve(df.limit(0)).count() == 0
 
 
+def test_vocabulary_is_learned(spark):
+    """Invented trades and given names in no list: their forms are learned, and spellings of one party found."""
+    rng = random.Random(21)
+    syll = ["ba", "ke", "li", "mo", "ru", "sa", "te", "vo", "zu", "fi", "gu", "pa", "no", "di"]
+    word = lambda n: "".join(rng.choice(syll) for _ in range(n))
+    trades = [(word(4) + "ox", word(2) + "x") for _ in range(10)]
+    given = [(word(3) + "h", word(2) + "y", word(2) + "wa") for _ in range(10)]
+    typo = lambda w: (lambda k: w[:k] + w[k + 1] + w[k] + w[k + 2 :])(rng.randrange(1, len(w) - 2))
+    mains, parties = set(), []
+    while len(mains) < 420:
+        mains.add(word(5) + rng.choice("nrls"))
+    for i, m in enumerate(sorted(mains)):
+        M = m.capitalize()
+        if i % 2:
+            full, short = rng.choice(trades)
+            parties.append([f"{M} {full.title()} Ltd", f"{m.upper()} {short.upper()} LIMITED", f"M/s {M} {full}", f"{typo(m)} {full} pvt ltd", f"{short} {m}"])
+        else:
+            full, short, other = rng.choice(given)
+            parties.append([f"{full.title()} {M}", f"{M}, {full.title()}", f"{short.upper()} {m.upper()}", f"mr {other} {m}", f"{full} {typo(m)}", f"{full[0].upper()}. {M}"])
+        if i % 9 == 0:  # the same surname, another person
+            x = rng.choice([g for g in given if i % 2 or g[0] != full])
+            parties.append([f"{x[0].title()} {M}"])
+    rows = [(s, i) for i, p in enumerate(parties) for s in p]
+    df = spark.createDataFrame(rows, "counterparty string, i int")
+    vocabulary = names.learn(df.select(F.col("counterparty").alias("spelling")).distinct(), known=[])
+    for forms, role in [(t, "t") for t in trades] + [(g, "g") for g in given]:
+        assert len({vocabulary.words[w.upper()] for w in forms}) == 1 and vocabulary.words[forms[0].upper()][0] == role
+    of = {s: i for s, i in rows}
+    found = {(r["spelling_a"], r["spelling_b"]) for r in names.links(names.resolve(df, known=[])).collect()}
+    true = {tuple(sorted((a, b))) for p in parties for a in p for b in p if a < b}
+    assert len(found & true) >= 0.98 * len(true)
+    assert sum(of[a] != of[b] for a, b in found) <= 0.01 * len(found)
+
+
 # -- leaks -----------------------------------------------------------------------------------------------------------
 def brute_tile(a, b, least):
     ua, ub, out = set(), set(), []
