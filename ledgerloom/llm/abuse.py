@@ -20,9 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut, shared_dir, ship
+
 #: The kernel: subsequence order, total gap, discount of a gap, size of the hashed feature space (a power of two).
 ORDER, GAPS, DISCOUNT, DIMENSIONS = 4, 2, 0.6, 1 << 17
 #: Characters of a stretch that is scored; landmarks; rounds of picking stretches.
@@ -32,7 +35,9 @@ NEARLY_ALL, CUT = 0.995, 0.12
 #: Bound of the labelled documents that the classifier is fitted on, and of the negative stretches.
 #: Runs of characters that tell what negative documents also say, and the share of new ones a positive stretch has.
 GRAM, GRAM_SPACE, STRANGE = 7, 1 << 22, 0.66
-MAX_LABELLED, MAX_NEGATIVE = 3000, 5000
+MAX_LABELLED, MAX_NEGATIVE = 6000, 8000
+#: Positive documents that a telling run is in at least, how much more often than in others, share of a stretch.
+OFTEN, ODDS, TOLD = 3, 8.0, 0.3
 
 _PATTERNS = [(0, *c) for c in itertools.combinations(range(1, ORDER + GAPS), ORDER - 1)]
 _WEIGHTS = [DISCOUNT ** (p[-1] + 1 - ORDER) for p in _PATTERNS]
@@ -49,7 +54,7 @@ _DIGITS = re.compile(r"[#\w/.,-]*\d[\w/.,-]*")
 _SPACE = re.compile(r"[\s.,;:!?\"'()\[\]…—–]+")
 #: Signs and digits typed for letters.
 _LOOKALIKE = str.maketrans({"@": "a", "$": "s", "€": "e", "¡": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
-_MIXED = re.compile(r"(?<![\w@$])(?=[\w@$*]*[a-z])(?=[\w@$*]*[@$013457])[a-z@$*]+[\w@$*]*[a-z]+(?![\w@$])")
+_MIXED = re.compile(r"(?<![\w@$*])(?=[\w@$*]*[a-z][\w@$*]*[a-z])(?=[\w@$*]*[@$013457])[a-z0-9@$*]+(?![\w@$*])")
 
 
 def normal(text: str) -> str:
@@ -57,7 +62,7 @@ def normal(text: str) -> str:
     t = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m.group(0)), t)
     t = _STRETCHED.sub(r"\1", t)
-    t = _MIXED.sub(lambda m: m.group(0).translate(_LOOKALIKE) if sum(c.isdigit() for c in m.group(0)) <= 2 else m.group(0), t)
+    t = _MIXED.sub(lambda m: m.group(0).translate(_LOOKALIKE) if 2 * sum(c.isdigit() for c in m.group(0)) <= len(m.group(0)) else m.group(0), t)
     # Amounts, days and references say nothing here; what is left of them is one sign.
     t = _DIGITS.sub("0", t)
     return " " + _SPACE.sub(" ", t).strip() + " "
@@ -86,6 +91,9 @@ def embed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nums, values / (np.linalg.norm(values) or 1.0)
 
 
+MODEL = "weights binary, bias double, threshold double, scale double"
+
+
 @dataclass
 class Model:
     """Folded weights per subsequence, bias, threshold; ``scale`` maps margins to a probability."""
@@ -195,6 +203,28 @@ def _strange(neg: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _telling(pos: list[np.ndarray], neg: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For the stretch at each position of both lists the share of its runs that tell positive documents from others.
+
+    A run tells if OFTEN positive documents have it at least, and positive documents ODDS times as often as negative
+    ones; labels that are wrong either way are too few to reach that.
+    """
+    counts = []
+    for docs in (pos, neg):
+        seen = np.zeros(GRAM_SPACE, dtype=np.int32)
+        for c in docs:
+            seen[np.unique(_grams(c))] += 1
+        counts.append(seen)
+    tells = (counts[0] >= OFTEN) & (counts[0] / max(1, len(pos)) > ODDS * (counts[1] + 0.5) / max(1, len(neg)))
+    inside = STRETCH - GRAM + 1
+
+    def share(c: np.ndarray) -> np.ndarray:
+        told = np.r_[0, np.cumsum(tells[_grams(c)])]
+        return (told[inside:] - told[:-inside]) / inside
+
+    return [share(c) for c in pos], [share(c) for c in neg]
+
+
 def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
     """Fits the classifier on documents with labels; deterministic for the same rows in the same order.
 
@@ -210,6 +240,7 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         pos, neg = [docs[i] for i in rows if y[i]], [docs[i] for i in rows if not y[i]]
         strange = _strange(neg, pos)
+        told, told_neg = _telling(pos, neg)
         each = max(1, MAX_NEGATIVE // (2 * len(neg)))
         cuts = [c[s : s + STRETCH] for c in neg for s in rng.integers(0, max(1, len(c) - STRETCH + 1), each)]
         # Different stretches only: what many documents say word for word counts once.
@@ -220,10 +251,12 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
             # The stretch of each positive document that looks worst, among those that negative documents do not say.
             looks = strange if model is None else model.margins(pos)
             chosen = []
-            for c, odd, look in zip(pos, strange, looks):
-                look = np.where(odd >= STRANGE, look, -np.inf)
+            for c, odd, look, tell in zip(pos, strange, looks, told):
+                sure = tell.max() >= TOLD
+                # What many positive documents and hardly any negative one say stays in, whatever the model makes of it.
+                look = np.where(tell >= 0.9 * tell.max(), look, -np.inf) if sure else np.where(odd >= STRANGE, look, -np.inf)
                 s = int(look.argmax())
-                if look[s] > (0 if model is None else -0.4):
+                if sure or look[s] > (0 if model is None else -0.4):
                     # Neighbouring starts too, so that the insult may stand anywhere in the stretch.
                     chosen += [embed(c[k : k + STRETCH]) for k in (max(0, s - 9), s, s + 9) if len(c) - k >= ORDER + GAPS]
             if len(chosen) < 3:
@@ -233,7 +266,9 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
             # Hard negatives: what looks worst in each part of each negative document joins in, hardest last; what
             # still looks bad though the model has seen it weighs more.
             hard: dict[bytes, tuple[float, np.ndarray]] = {}
-            for c, m in zip(neg, model.margins(neg)):
+            for c, m, tell in zip(neg, model.margins(neg), told_neg):
+                # A stretch that tells is one of a document with a wrong label: no example of sober language.
+                m = np.where(tell >= TOLD / 2, -np.inf, m)
                 for k in range(0, len(m), 48):
                     t = int(m[k : k + 48].argmax()) + k
                     if m[t] > -0.7:
@@ -246,7 +281,10 @@ def train(texts: list[str], labels: list[bool], seed: int = 7) -> Model:
 
     model = fit(np.arange(len(docs)))
     tops = np.asarray([x.max() for x in model.margins(docs)])
-    low, high = float(np.quantile(tops[~y], NEARLY_ALL)), float(np.median(tops[y]))
+    # Documents with a wrong label, as far as what they say tells, have no say in the cut.
+    _, told = _telling([docs[i] for i in np.flatnonzero(y)], [docs[i] for i in np.flatnonzero(~y)])
+    sober = tops[~y][[t.max() < TOLD / 2 for t in told]]
+    low, high = float(np.quantile(sober if len(sober) else tops[~y], NEARLY_ALL)), float(np.median(tops[y]))
     model.threshold = low + CUT * max(0.0, high - low)
     return model
 
@@ -262,8 +300,22 @@ def labelled(documents: DataFrame, abuse_label: DataFrame, most: int = MAX_LABEL
 
 
 def fit_model(documents: DataFrame, abuse_label: DataFrame, most: int = MAX_LABELLED) -> Model:
-    sample = labelled(documents, abuse_label, most).toPandas()
-    return train(sample["text"].tolist(), sample["positive"].tolist())
+    """The model of the labelled sample: fitted once, kept in the shared folder, and read from there the next time."""
+    spark = documents.sparkSession
+    sample = cut(labelled(documents, abuse_label, most))
+    row = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "text", "positive").cast("decimal(38,0)")).alias("k")).first()
+    path = f"{shared_dir(spark).rstrip('/')}/abuse-model-{row['n']}-{abs(int(row['k'] or 0))}"
+    try:
+        kept = spark.read.schema(MODEL).parquet(path).first()
+    except AnalysisException:
+        kept = None
+    if kept is not None:
+        return Model(np.frombuffer(kept["weights"], dtype=np.float32), kept["bias"], kept["threshold"], kept["scale"])
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    model = train(rows["text"].tolist(), rows["positive"].tolist())
+    held = [(bytearray(model.weights.astype(np.float32).tobytes()), float(model.bias), float(model.threshold), float(model.scale))]
+    spark.createDataFrame(held, MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+    return model
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -271,6 +323,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
 
     Null, empty and blank texts score 0. Texts are scored whole. Repeated rows each come out. Other columns stay.
     """
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -441,6 +441,40 @@ def test_abuse_held_out(spark):
     assert {(r["source"], r["documents"], r["flagged"]) for r in abuse.rates(abuse.score_documents(d, model)).collect()} == {("s", 2, 1), (None, 1, 0)}
 
 
+def test_abuse_survives_wrong_labels_and_masks():
+    """A tenth of the sober documents is labelled abusive, and insults are masked at random."""
+    rng = random.Random(9)
+    nouns = ["payment", "refund", "invoice", "credit", "export", "ledger", "notice", "advice", "batch", "charge"]
+    verbs = ["was booked on", "went missing in", "was split over", "came twice with", "differs from", "closed without"]
+    sober = lambda k: f"the {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} of {k} and {rng.choice(nouns)}s"
+    rude = ["you are a useless lying idiot", "shut your mouth you stupid clown", "drop dead you worthless scum", "get lost you filthy parasite"]
+
+    def doc(bad, place, mask):
+        s = [sober(place) for _ in range(5)]
+        if bad:
+            x = rng.choice(rude)
+            k = rng.randrange(len(x) - 1)
+            s.insert(rng.randrange(6), x[:k] + mask + x[k + 1 :] if rng.random() < 0.4 and x[k] != " " else x)
+        return ". ".join(s)
+
+    truth = [rng.random() < 0.25 for _ in range(500)]
+    told = [y or rng.random() < 0.1 for y in truth]
+    model = abuse.train([doc(y, "june", "*") for y in truth], told)
+    test = [rng.random() < 0.25 for _ in range(300)]
+    s = model.scores([doc(y, "june", "*") for y in test])
+    assert np.mean((s > 0.5) == np.asarray(test)) > 0.96
+    assert abuse.normal("you 54l4ud 4r53 12345 ord_0999") == " you salaud arse 0 0 "
+
+
+def test_model_is_fitted_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "you are a useless lying idiot" if i % 2 else f"the payment {i} was booked on friday") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, "abusive" if i % 2 else "none") for i in range(60)], "doc_id bigint, annotator int, category string")
+    first = abuse.fit_model(docs, labels)
+    monkeypatch.setattr(abuse, "train", lambda *a: pytest.fail("fitted again"))
+    again = abuse.fit_model(docs, labels)
+    assert (again.weights == first.weights).all() and (again.bias, again.threshold) == (first.bias, first.threshold)
+
+
 def test_abuse_without_labels():
     assert abuse.train(["a b c"], [False]).scores(["a b c"]).max() < 1e-9
     assert abuse.train([], []).scores(["x"]).max() < 1e-9
