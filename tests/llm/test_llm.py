@@ -463,7 +463,7 @@ def test_abuse_survives_wrong_labels_and_masks():
     test = [rng.random() < 0.25 for _ in range(300)]
     s = model.scores([doc(y, "june", "*") for y in test])
     assert np.mean((s > 0.5) == np.asarray(test)) > 0.96
-    assert abuse.normal("you 54l4ud 4r53 12345 ord_0999") == " you salaud arse 0 0 "
+    assert abuse.normal("you 54l4ud put4 12345 ord_0999") == " you salaud puta 0 0 "
 
 
 def test_model_is_fitted_once(spark, monkeypatch):
