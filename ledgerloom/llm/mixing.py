@@ -3,12 +3,15 @@
 The budget is the token count of all documents. It is cut into blocks of BLOCK tokens, which go one after the other to
 the source with the highest quotient weight / (2 * blocks + 1). What a source may give is bounded by its tokens times
 its cap of repeats; blocks it cannot give go on to the next quotient. Within a source the quota is spread over shards
-by the same rule, and each shard selects its documents in a seeded order.
+by the same rule, in whole blocks. A shard's documents, in a seeded order, form blocks of equal tokens, and a seeded
+permutation of the block numbers says which of them the quota takes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens of a block, shards per source, file of the public tokenizer in its folder.
-BLOCK, SHARDS, TOKENIZER, TOKENIZERS = 1024, 16, "byte_bpe_50k.json", "/opt/tokenizers"
+BLOCK, SHARDS, TOKENIZER, TOKENIZERS = 256, 16, "byte_bpe_50k.json", "/opt/tokenizers"
 
 
 def sainte_lague(weights: dict[str, float], seats: int, caps: dict[str, int] | None = None) -> dict[str, int]:
@@ -74,13 +77,25 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str =
     return documents.withColumn("tokens", count("text"))
 
 
+PLAN = "source string, shard int, full bigint, some bigint, size bigint, width double, step bigint, start bigint"
+
+
+def permutation(n: int, seed: str) -> tuple[int, int]:
+    """(step, start) such that k -> (k * step + start) % n is a seeded permutation of 0..n-1."""
+    draw = int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big")
+    step = draw % n or 1
+    while math.gcd(step, n) != 1:
+        step += 1
+    return step, (draw >> 20) % n
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """(doc_id, source, tokens, times): how often each document is used to reach the target shares.
 
     ``documents`` has doc_id, source and tokens; ``targets`` source, target_share, max_repeats (one row per source, a
-    table the size of the list of sources). A source's quota of n times its tokens uses every document floor(n) times
-    and a seeded choice of them once more; a document is not split, so a shard may miss its quota by less than one
-    document. Documents without tokens, id or source, and sources without a target, are not used. Repeated rows of a
+    table the size of the list of sources). A shard whose quota is n times its blocks uses each floor(n) times and a
+    seeded choice of blocks once more; a document is not split, so a block may miss its tokens by one document at either
+    end. Documents without tokens, id or source, and sources without a target, are not used. Repeated rows of a
     document count once. A null or non-positive max_repeats means the source gives nothing.
     """
     docs = documents.select("doc_id", "source", "tokens").where("doc_id is not null and source is not null and tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.*")
@@ -92,31 +107,32 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int = B
     for r in sizes:
         have.setdefault(r["source"], {})[r["shard"]] = r["tokens"]
     total = sum(t for s in have.values() for t in s.values())
-    caps = {s: -(-sum(have.get(s, {}).values()) * m // block) for s, (_, m) in want.items()}
+    # A shard's tokens form as many equal blocks as come nearest to the block size.
+    sizes = {s: {k: max(1, round(v / block)) for k, v in own.items()} for s, own in have.items()}
+    caps = {s: sum(sizes.get(s, {}).values()) * m for s, (_, m) in want.items()}
     quota = sainte_lague({s: w for s, (w, _) in want.items()}, max(1, round(total / block)), caps)
     rows = []
     for s, blocks in sorted(quota.items()):
-        own = have.get(s, {})
-        size = sum(own.values())
-        budget = min(blocks * block, size * want[s][1])
-        # Shard quotas in proportion to what the shards hold, by the same rule, in blocks small enough to matter.
-        fine = max(1, block // 16)
-        parts = sainte_lague({str(k): float(v) for k, v in own.items()}, budget // fine, {str(k): -(-v * want[s][1] // fine) for k, v in own.items()})
-        for k, v in own.items():
-            tokens = min(parts[str(k)] * fine, v * want[s][1])
-            full = min(want[s][1], tokens // v)
-            rows.append((s, k, int(full), int(tokens - full * v), int(want[s][1])))
-    plan = documents.sparkSession.createDataFrame(rows, "source string, shard int, full int, rest bigint, most int") if rows else documents.sparkSession.createDataFrame([], "source string, shard int, full int, rest bigint, most int")
-    # Each shard takes documents in seeded order until the rest of its quota is best met. Shards are split further by
-    # a coarse range of the seeded order, whose sums come first, so no task sorts a whole shard.
+        own, size = have.get(s, {}), sizes.get(s, {})
+        # Shard quotas in proportion to what the shards hold, by the same rule; a shard gives its blocks in whole.
+        parts = sainte_lague({str(k): float(v) for k, v in own.items()}, blocks, {str(k): n * want[s][1] for k, n in size.items()})
+        for k, n in size.items():
+            full, some = divmod(parts[str(k)], n)
+            step, start = permutation(n, f"{seed}/{s}/{k}")
+            rows.append((s, k, full, some, n, own[k] / n, step, start))
+    plan = documents.sparkSession.createDataFrame(rows, PLAN) if rows else documents.sparkSession.createDataFrame([], PLAN)
+    # The place of a document in its shard's seeded order, in tokens. Shards are split further by a coarse range of the
+    # order, whose sums come first, so no task sorts a whole shard.
     order = F.xxhash64(F.lit(seed + 1), "doc_id")
     placed = docs.join(F.broadcast(plan), ["source", "shard"]).withColumn("at", order).withColumn("slice", F.shiftright("at", 56))
     ahead = placed.groupBy("source", "shard", "slice").agg(F.sum("tokens").alias("slice_tokens"))
     ahead = ahead.withColumn("before", F.coalesce(F.sum("slice_tokens").over(Window.partitionBy("source", "shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("source", "shard", "slice").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(ahead.select("source", "shard", "slice", "before"), ["source", "shard", "slice"]).withColumn("upto", F.col("before") + F.sum("tokens").over(w))
-    extra = ((F.col("upto") - F.col("tokens") / 2) <= F.col("rest")) & (F.col("full") < F.col("most"))
-    used = ranked.withColumn("times", F.col("full") + F.when(extra, 1).otherwise(0))
+    ranked = placed.join(ahead.select("source", "shard", "slice", "before"), ["source", "shard", "slice"]).withColumn("middle", F.col("before") + F.sum("tokens").over(w) - F.col("tokens") / 2)
+    # A document belongs to the block that its middle lies in.
+    number = F.least(F.floor(F.col("middle") / F.col("width")), F.col("size") - 1)
+    chosen = (number * F.col("step") + F.col("start")) % F.col("size") < F.col("some")
+    used = ranked.withColumn("times", (F.col("full") + F.when(chosen, 1).otherwise(0)).cast("int"))
     return used.where("times > 0").select("doc_id", "source", "tokens", "times")
 
 

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..tables import table, written
+from ..tables import shared_dir, table
 from . import mixing as M
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
-    docs = M.with_tokens(table(spark, d, "documents").select("doc_id", "source", "text")).drop("text")
-    return written(docs, "tokens")
+    """Token counts, made once for the same documents and kept in the shared folder."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "source", "text").cast("decimal(38,0)")).alias("k")).first()
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{row['n']}-{abs(int(row['k'] or 0))}"
+    counted = M.with_tokens(docs).drop("text")
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        counted.write.mode("overwrite").parquet(path)
+    return spark.read.schema(counted.schema).parquet(path)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

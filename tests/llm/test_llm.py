@@ -409,6 +409,28 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), t).count() == 0
 
 
+def test_blocks_are_a_permutation():
+    for n in (1, 2, 3, 16, 97, 1000):
+        step, start = mixing.permutation(n, f"s{n}")
+        assert sorted((k * step + start) % n for k in range(n)) == list(range(n))
+
+
+def test_quotas_in_blocks(spark):
+    """Every source gets its apportioned blocks, whichever way its documents fall; equal documents show it exactly."""
+    docs = [(i, s, 64) for s, n in (("a", 1600), ("b", 400), ("c", 200)) for i in range(n) for i in [i + {"a": 0, "b": 10_000, "c": 20_000}[s]]]
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    t = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 4), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    total = sum(n for *_, n in docs)
+    caps = {"a": 1600, "b": 1600, "c": 400}
+    quota = mixing.sainte_lague({"a": 0.3, "b": 0.4, "c": 0.3}, total // 64, caps)
+    m = mixing.mix(d, t, block=64, shards=4)
+    got = {r["source"]: (r["tokens_used"], r["most_repeats"]) for r in mixing.shares(m, d, t).collect()}
+    assert {s: n for s, (n, _) in got.items()} == {s: q * 64 for s, q in quota.items()}
+    assert all(r <= {"a": 1, "b": 4, "c": 2}[s] for s, (_, r) in got.items())
+    other = mixing.mix(d, t, seed=18, block=64, shards=4)
+    assert m.subtract(other).count() > 0  # another seed chooses other blocks
+
+
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "word " * 60_000), (5, "<|endoftext|>")], "doc_id int, text string")
     n = {r["doc_id"]: r["tokens"] for r in mixing.with_tokens(d).collect()}
