@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import running_sums
+
 FEATURES = ["record_count", "source_count", "kind_count", "payment_frac", "credit_frac", "has_reference_frac", "has_counterparty_frac", "has_value_date_frac", "counterparty_cardinality", "amount_log_median", "amount_cv"]
 
 
@@ -15,8 +17,7 @@ def feature_profile(records: DataFrame, by: str) -> DataFrame:
     """
     amounts = records.withColumn("_a", F.abs("amount_minor"))
     per = amounts.where("_a is not null").groupBy(by, "_a").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(by).orderBy("_a")
-    ranked = per.withColumn("_upto", F.sum("_n").over(w)).join(per.groupBy(by).agg(F.sum("_n").alias("_all")), by)
+    ranked = running_sums(per, [by], "_a", ["_n"]).withColumn("_upto", F.col("_n_before") + F.col("_n")).join(per.groupBy(by).agg(F.sum("_n").alias("_all")), by)
     median = ranked.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(by).agg(F.min("_a").alias("_median"))
     frac = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
     filled = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
@@ -76,8 +77,7 @@ def isotonic(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by Mann-Whitney with half for ties, from counts per distinct score."""
     per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum((~F.col(label)).cast("bigint")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = per.withColumn("wins", F.col("pos").cast("double") * (below + F.col("neg") / 2.0))
+    x = running_sums(per, [], score, ["neg"]).withColumn("wins", F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0))
     return x.agg(F.round(F.sum("wins") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
@@ -86,12 +86,13 @@ def best_threshold(rows: DataFrame, score: str, label: str, low: float = 0.45, h
     cut = F.round(score, 3)
     per = rows.where(F.col(score).isNotNull()).groupBy(cut.alias("cut"), (F.col(score) >= cut).alias("at_least")).agg(F.sum(F.col(label).cast("bigint")).alias("ok"), F.count(F.lit(1)).alias("n"))
     per = per.groupBy("cut").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n"), F.sum(F.when(~F.col("at_least"), F.col("ok")).otherwise(0)).alias("ok_below"), F.sum(F.when(~F.col("at_least"), F.col("n")).otherwise(0)).alias("n_below"))
-    before = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, -1)
-    z = lambda c: F.coalesce(c, F.lit(0))
-    wrong_below = z(F.sum(F.col("n") - F.col("ok")).over(before)) + F.col("n_below") - F.col("ok_below")
-    right_above = z(F.sum("ok").over(later)) + F.col("ok") - F.col("ok_below")
-    x = per.withColumn("right", wrong_below + right_above)
+    # Right answers of a cut: what is wrong below it and what is right from it on.
+    x = running_sums(per.withColumn("wrong", F.col("n") - F.col("ok")), [], "cut", ["wrong", "ok"])
+    all_ok = per.agg(F.sum("ok").alias("all_ok"))
+    wrong_below = F.col("wrong_before") + F.col("n_below") - F.col("ok_below")
+    right_above = F.col("all_ok") - F.col("ok_before") - F.col("ok_below")
+    # One row beside every cut: a scalar, not a product of two tables.
+    x = x.join(F.broadcast(all_ok), F.lit(True)).withColumn("right", wrong_below + right_above)
     return x.agg(F.max(F.struct("right", (-F.col("cut")).alias("c"))).alias("b")).select(F.round(F.greatest(F.lit(low), F.least(F.lit(high), -F.col("b.c"))), 3).alias("threshold"), F.col("b.right").alias("right"))
 
 

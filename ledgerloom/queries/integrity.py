@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import references as R
 from ..sources import quarantine as Q
 from ..streaming import late as L
-from ..tables import shared_dir, table, written
+from ..tables import scratch, table, written
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +41,7 @@ def _streamed(spark: SparkSession, d: str) -> str:
     closes = table(spark, d, "period_close")
 
     def run(disorder: str) -> str:
-        base = f"{shared_dir(spark).rstrip('/')}/late-{uuid.uuid4().hex}"
+        base = scratch(spark, "late")
         # As a pattern, so that one file and a folder of part files both serve as a stream.
         records = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{d}/[r]econ_record.parquet")
         L.run_event_windows(records, closes, base, disorder)

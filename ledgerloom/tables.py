@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Files of results made on the way, removed when the process ends.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _MADE:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; what is left is the folder owner's to clear
+            return
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder; what is written there is removed when this process ends."""
+    if not _MADE:
+        atexit.register(_sweep)
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from there; lost executors then cost no recomputation."""
     spark = df.sparkSession
@@ -74,7 +96,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Unlike ``cut`` the copy is compressed and column-pruned on read, which suits wide or repeatedly read results.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -89,3 +111,22 @@ def blocks(count: Column | str, size: int) -> Column:
     """Number of blocks of at most ``size`` rows that ``count`` rows need (at least one)."""
     c = F.col(count) if isinstance(count, str) else count
     return F.greatest(F.lit(1), F.ceil(c / F.lit(size))).cast("int")
+
+
+def running_sums(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """``df`` with ``<value>_before``: the sum of ``value`` over the rows of the same ``by`` with a smaller ``order``.
+
+    ``order`` is distinct within ``by``. Rows are cut into ranges of (by, order); a range's rows are summed up where they
+    lie, and only the sums of whole ranges go through one window, so no group of any size is a single task.
+    """
+    ranges = cut(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranges.groupBy("_range", *by).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = whole.select(F.col("_range").alias("_r"), *(F.col(b).alias(f"_by_{b}") for b in by), *(zero(F.sum(f"_{v}").over(ahead)).alias(f"_{v}") for v in values))
+    same = F.col("_range") == F.col("_r")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    summed = ranges.withColumns({f"{v}_before": zero(F.sum(v).over(inside)) for v in values}).join(whole, same)
+    return summed.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).select(*df.columns, *(f"{v}_before" for v in values))
