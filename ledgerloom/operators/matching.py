@@ -7,12 +7,12 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations, islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_level
 from ..functions.money import amount_level
-from ..tables import cut
+from ..tables import cut, ship
 from . import fs
 
 #: Tolerances in minor units and days, thresholds of confidence.
@@ -197,6 +197,7 @@ def pool_pass(batches: DataFrame, credits: DataFrame, payments: DataFrame, parti
     Every credit and batch is tried in id order against the pools, which are part of the passes' definition and refilled
     as ids are consumed; a partition (a tenant's account or run) is therefore one sequence and one task.
     """
+    ship(batches.sparkSession)
     batch = F.col("batch_key").cast("string") if "batch_key" in payments.columns else F.lit(None).cast("string")
     tag = lambda df, kind, key, value, of: df.select(*partition, F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value"), of.alias("of"))
     none = F.lit(None).cast("string")
@@ -350,6 +351,8 @@ def _jaro_winkler_batches(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Itera
 
 def jaro_winkler_column(a: Column, b: Column) -> Column:
     """Arrow-batched; there is no built-in."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
     return F.pandas_udf(_jaro_winkler_batches, "double")(a, b)
 
 
