@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..tables import shared_dir, written
+from ..tables import scratch, written
 
 #: Amounts of copies differ by at most this (minor units); rare paragraphs are told apart by amount slots this wide.
 AMOUNT_SLACK, SLOT = 5, 64
@@ -167,7 +167,7 @@ def all_repeats(records: DataFrame, per_step: int = LOADS_PER_STEP) -> DataFrame
     gives no pairs. The loads and their months come to the driver: numbers of weeks and of months.
     """
     spark = records.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    base = scratch(spark, "history")
     # A load may be very large, so it is spread over a few tasks.
     movement_hashes(records).repartition("load", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("load").parquet(f"{base}/loads")
     hashes = spark.read.schema(HASHES).parquet(f"{base}/loads")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import ship, written
 
 #: Words of a seed and of the shortest tile: every tile holds a seed.
 SEED = TILE = 3
@@ -213,6 +213,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, bound: int = BROADCAST_SE
     (same id) count once. Long texts are read whole. Items shorter than PASSAGE words must be there nearly whole, and
     items or matches shorter than a seed are no leaks.
     """
+    ship(documents.sparkSession)
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     numbers = _numbers(words_of(F.col("text")))
     rows = items.select("item_id", "text").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
