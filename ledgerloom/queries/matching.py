@@ -273,7 +273,10 @@ def decomposition_components(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+with r as (select distinct id, upper(trim(reference)) as x, upper(trim(external_ids['settlement_utr'])) as y from recon_record where external_ids['settlement_utr'] is not null),
+s as (select *, jaro_similarity(x, y) as j, case when left(x, 1) <> left(y, 1) then 0 when left(x, 2) <> left(y, 2) then 1 when left(x, 3) <> left(y, 3) then 2 when left(x, 4) <> left(y, 4) then 3 else least(4, length(x), length(y)) end as p from r)
+select id, case when x = y then 'exact' when x is null or y is null then 'none' when j + p * 0.1 * (1 - j) >= 0.9 then 'jaro_hi' when j + p * 0.1 * (1 - j) >= 0.7 then 'jaro_mid' else 'none' end as level from s""")
 def reference_levels(spark: SparkSession, d: str) -> DataFrame:
     """Jaro-Winkler levels between a record's reference and its settlement reference (tested by brute force)."""
     r = table(spark, d, "recon_record").select("id", "reference", F.element_at("external_ids", "settlement_utr").alias("utr")).where("utr is not null").dropDuplicates(["id"])
