@@ -55,3 +55,29 @@ def without_run(events: DataFrame, run: str, purged: DataFrame) -> DataFrame:
 def append(events: DataFrame, path: str, partitions: list[str]) -> None:
     """Appends to a partitioned columnar log; readers prune by the partition columns."""
     events.write.mode("append").partitionBy(*partitions).parquet(path)
+
+
+def scan(events: DataFrame, *runs: Column, by: str, order: list[str]) -> DataFrame:
+    """The events that fall under any of the conditions ``runs``, numbered from 1 within ``by`` in ``order``.
+
+    The conditions reach the scan; a run is one sequence, so it is one window.
+    """
+    wanted = runs[0]
+    for c in runs[1:]:
+        wanted = wanted | c
+    return events.where(wanted).withColumn("seq", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def validated(events: DataFrame, kind: str, payload: str, schemas: dict[str, str]) -> DataFrame:
+    """``events`` with ``refused``: why an append would not take one, or null.
+
+    ``schemas`` names the known types and the fields of their payloads as "name type, ..."; a field that is missing or
+    of another type is named. A null or unreadable payload has no object.
+    """
+    why = F.when(~F.coalesce(F.col(kind).isin(list(schemas)), F.lit(False)), "unknown type").when(F.get_json_object(payload, "$").isNull(), "no object")
+    for name, fields in schemas.items():
+        for f in fields.split(","):
+            field, type_ = f.split()
+            fits = F.get_json_object(payload, f"$.{field}").try_cast(type_).isNotNull()
+            why = why.when((F.col(kind) == name) & ~fits, f"field {field}")
+    return events.withColumn("refused", why)

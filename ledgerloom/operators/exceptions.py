@@ -185,3 +185,17 @@ def top_exceptions(exceptions: DataFrame, per: str, k: int) -> DataFrame:
     """The k largest of each ``per``, by absolute impact then id (a report; the register itself is whole)."""
     w = Window.partitionBy(per).orderBy(F.desc(F.abs("impact")), "exception_id")
     return exceptions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def score(anomalies: DataFrame, records: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """One row: reviewed anomalies, those that an exception touches, those with the right category, and their share.
+
+    ``anomalies`` (id, true_category, ids of records), ``records`` (rid, run_id, utr), ``exceptions`` (run_id, utr,
+    category). An anomaly of several records counts once; without any exception the share is null.
+    """
+    touched = anomalies.select("id", "true_category", F.explode("ids").alias("rid")).join(records, "rid").join(exceptions, ["run_id", "utr"])
+    hits = touched.groupBy("id").agg(F.max((F.col("category") == F.col("true_category")).cast("int")).alias("ok"))
+    x = hits.agg(F.count(F.lit(1)).alias("detected"), F.coalesce(F.sum("ok"), F.lit(0)).alias("right_category"))
+    all_ = anomalies.agg(F.count(F.lit(1)).alias("anomalies"))
+    # Two single rows side by side.
+    return all_.join(F.broadcast(x), F.lit(True)).withColumn("category_accuracy", F.round(F.try_divide("right_category", "detected"), 4))

@@ -22,12 +22,24 @@ class Run:
     batches: DataFrame
 
 
-def run(spark: SparkSession, sf_dir: str, run_id: str = "run-1") -> Run:
-    """Raw rows to records and settlement batches. Stage results are durable, so a lost executor repeats one stage."""
+def staged(df: DataFrame, base: str | None, name: str) -> DataFrame:
+    """The result of a stage: written once below ``base`` and read from there by any later run; without it, for now."""
+    if base is None:
+        return written(df, name)
+    spark, path = df.sparkSession, f"{base.rstrip('/')}/{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def run(spark: SparkSession, sf_dir: str, run_id: str = "run-1", base: str | None = None) -> Run:
+    """Raw rows to records and settlement batches. Stage results are durable, so a lost executor repeats one stage; with
+    ``base``, a folder of this run in shared storage, a run that broke off goes on after its last whole stage."""
     files = table(spark, sf_dir, "source_file").where("header is not null")
     rates = table(spark, sf_dir, "fx_rate")
-    rows = written(Q.classify_rows(table(spark, sf_dir, "raw_line"), files, rates), "rows")
-    made = written(normalize(Q.loaded(rows), files, rates, run_id), "records")
+    rows = staged(Q.classify_rows(table(spark, sf_dir, "raw_line"), files, rates), base, "rows")
+    made = staged(normalize(Q.loaded(rows), files, rates, run_id), base, "records")
     bad = made.where("error is not null").select("line_id", F.col("ingest_file_hash").alias("file_hash"), F.lit(None).cast("int").alias("line_no"), F.col("error").alias("reason"), F.to_json("raw").alias("raw"))
     # A repeat is a row equal in tenant, source and content; its copies differ in file and row number only.
     records = made.where("error is null").dropDuplicates(["org_id", "source", "content"]).drop("error", "line_id", "content")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, evidence, integrity, matching, runs, scalars
+from . import analysis, evidence, integrity, logs, matching, runs, scalars
 
-_MODULES = [integrity, scalars, matching, analysis, evidence, runs]
+_MODULES = [integrity, scalars, matching, analysis, evidence, runs, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

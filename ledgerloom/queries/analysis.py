@@ -348,7 +348,11 @@ def hash_chain_terminal(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max(F.struct("seq", "hash")).alias("x")).select("user_id", "events", F.col("x.hash").alias("terminal"))
 
 
-@query("select user_id, count(*) as events, user_id % 10 <> 0 or count(*) < 3 as ok, case when user_id % 10 = 0 and count(*) >= 3 then 3 end as first_break from events group by user_id")
+@query("""
+with e as (select user_id, list(struct_pack(ts := ts, id := event_id, k := event_type, p := cast(event_id as varchar)) order by ts, event_id) as e from events group by user_id),
+h as (select user_id, e, list_reduce(list_prepend([''], list_transform(e, lambda x: [x.k || '|' || x.p])), lambda a, x: list_append(a, sha256(a[-1] || '|' || x[1]))) as h from e),
+v as (select user_id, len(e) as events, list_filter(range(1, len(e) + 1), lambda i: sha256(h[i] || '|' || e[i].k || '|' || e[i].p || case when user_id % 10 = 0 and i = 3 then 'x' else '' end) <> h[i + 1]) as bad from h)
+select user_id, events, len(bad) = 0 as ok, bad[1] as first_break from v""")
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth run's third event is tampered with; verification finds the first break."""
     c = E.chain(_events(spark, d), "user_id", ["ts", "event_id"], "event_type", "payload")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from ledgerloom.plans import pipeline
 from ledgerloom.sources import quarantine as Q
 from ledgerloom.tables import table
@@ -36,3 +38,20 @@ def test_loaded_is_records_quarantined_and_repeats(spark, tmp_path):
     assert len({r["id"] for r in records}) == len(records)
     assert {(r["org_id"], r["source"], ",".join(r["raw"][c] for c in HEADERS[r["source"]].split(","))) for r in records} == want
     assert {(r["org_id"], r["lines"], r["expected_minor"]) for r in run.batches.collect()} == {("o1", 2, 1200), ("o2", 1, 500)}
+
+
+def test_a_broken_run_goes_on_after_its_last_stage(spark, sf, tmp_path, monkeypatch):
+    base = str(tmp_path / "run")
+    first = pipeline.run(spark, sf, base=base)
+    want = sorted(r["id"] for r in first.records.select("id").collect())
+    monkeypatch.setattr(pipeline.Q, "BlockReader", lambda *a: pytest.fail("read again"))
+    again = pipeline.run(spark, sf, base=base)
+    assert sorted(r["id"] for r in again.records.select("id").collect()) == want
+
+
+def test_payloads(spark):
+    from ledgerloom.operators import events as E
+
+    rows = [("a", '{"n": 1, "t": "x"}'), ("a", '{"n": "one", "t": "x"}'), ("a", '{"t": "x"}'), ("b", "{}"), ("c", "{}"), (None, "{}"), ("a", None), ("a", "{broken")]
+    got = E.validated(spark.createDataFrame(rows, "k string, p string"), "k", "p", {"a": "n int, t string", "b": "n int"})
+    assert [r["refused"] for r in got.collect()] == [None, "field n", "field n", "field n", "unknown type", "unknown type", "no object", "no object"]
