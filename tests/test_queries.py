@@ -28,7 +28,8 @@ def test_same_as_sql(spark, sf, duck, name):
 def test_runs(spark, sf, name):
     df = Q[name](spark, sf)
     assert df.columns
-    assert df.count() >= 0
+    # At the smallest scale no combination is left for the pools; tests/test_cascade.py has some.
+    assert df.count() > 0 or name == "pool_passes"
 
 
 def test_entry(spark):
