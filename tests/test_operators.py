@@ -263,6 +263,56 @@ def test_memory_against_brute_force(spark):
     assert [(round(r["similarity"], 5), r["doc"]) for r in got] == want[:2]
 
 
+def _shuffled(spark) -> dict[int, int]:
+    """Rows written to shuffles, by stage."""
+    jvm = spark.sparkContext._jvm
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_recall_shuffles_no_pairs_of_documents(spark, monkeypatch):
+    import math
+
+    pick = random.Random(7)
+    docs = {d: {"all": 1.0} | {f"t{int(40 * pick.random() ** 2)}": float(pick.randint(1, 3)) for _ in range(7)} | ({f"x{d // 9}": 1.0} if d % 3 else {}) for d in range(600)}
+    df = spark.createDataFrame([(d, t, w) for d, bag in docs.items() for t, w in bag.items()], "doc int, token string, w double")
+    before = _shuffled(spark)
+    monkeypatch.setattr(Y, "BLOCK_ENTRIES", 1000)
+    monkeypatch.setattr(Y, "FREQUENT", 20, raising=False)
+    got = {(r["query"], r["rank"]): (r["doc"], r["similarity"]) for r in Y.cosine_recall(df, df.where("doc % 2 = 0")).collect()}
+    # 300 queries share a token with every document: 180 000 pairs.
+    assert sum(n for k, n in _shuffled(spark).items() if k not in before) < 10 * sum(map(len, docs.values()))
+    count = {t: sum(t in bag for bag in docs.values()) for bag in docs.values() for t in bag}
+    x = {d: {t: w * (math.log(601 / (count[t] + 1)) + 1) for t, w in bag.items()} for d, bag in docs.items()}
+    norm = {d: math.sqrt(sum(v * v for v in bag.values())) for d, bag in x.items()}
+    want = {}
+    for q in range(0, 600, 2):
+        near = [(-round(sum(v * x[d].get(t, 0.0) for t, v in x[q].items()) / norm[q] / norm[d], 6), d) for d in docs if d != q]
+        want |= {(q, r): (d, -s) for r, (s, d) in enumerate(sorted(n for n in near if n[0] <= -0.15)[:3], 1)}
+    assert got == want
+
+
+def test_recall_by_chunks_is_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    bags = [sorted({f"t{int(60 * v**2)}" for v in rng.random(6)}) for _ in range(400)]
+    norms = [float(np.sqrt(len(b))) for b in bags]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(bags), pa.array([[1.0] * len(b) for b in bags]), pa.array(norms)], names=["doc", "tokens", "weights", "norm"])
+    rows = [(d, t, 1 / norms[d], 1.0) for d in range(0, 400, 4) for t in bags[d]]
+    block = pa.table([pa.array([r[i] for r in rows]) for i in range(4)], names=["query", "token", "x", "idf"])
+    want = set()
+    for q in range(0, 400, 4):
+        near = sorted((-np.round(len({*bags[q]} & {*bags[d]}) / norms[q] / norms[d], 6), d) for d in range(400) if d != q)
+        want |= {(q, d, -s) for s, d in near[:3] if s <= -0.15}
+    for cells in (700, 40_000):
+        monkeypatch.setattr(Y, "CELLS", cells)
+        out = [r for b in Y._best(block, "doc", 3, 0.15)([batch.slice(0, 90), batch.slice(90)]) for r in b.to_pylist()]
+        assert {(r["query"], r["doc"], r["similarity"]) for r in out} == want
+
+
 def test_chain_and_clusters(spark):
     ev = spark.createDataFrame([("r", i, "k", f"p{i}") for i in range(5)] + [("s", 1, "k", "p")], "run string, n int, kind string, payload string")
     c = E.chain(ev, "run", ["n"], "kind", "payload")
