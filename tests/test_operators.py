@@ -92,6 +92,27 @@ def test_stream_equals_batch_out_of_order(spark, close, tmp_path):
     assert changes.where("sign = -1").count() > 0 and changes.select("batch").distinct().count() > 1
 
 
+def test_micro_batches_go_by_bytes_and_state_partitions(spark, sf, tmp_path, monkeypatch):
+    import os
+
+    from ledgerloom.queries import integrity as I
+
+    rows = spark.read.parquet(f"{sf}/recon_record.parquet")
+    rows.repartition(24, "id").write.parquet(str(tmp_path / "recon_record.parquet"))
+    os.symlink(f"{sf}/period_close.parquet", tmp_path / "period_close.parquet")
+    want = {r["record_id"] for r in I.p3_too_late(spark, sf).selectExpr("id as record_id").collect()}
+    batches = lambda base: len([f for f in os.listdir(f"{base.removeprefix('file:')}/state-arrivals/commits") if f.isdigit()])
+    # Many small files are one micro-batch: its price is the state's partitions, not its files.
+    base = I._streamed(spark, str(tmp_path))
+    assert batches(base) <= 2
+    assert {r["id"] for r in late.diverted(spark, base).collect()} == want
+    monkeypatch.setattr(I, "LEAST_BYTES", 1)
+    monkeypatch.setattr(I, "PARTITION_BYTES", sum(f.stat().st_size for f in (tmp_path / "recon_record.parquet").glob("*.parquet")) // 4 // 4)
+    base = I._streamed(spark, str(tmp_path))
+    assert 3 <= batches(base) <= 8
+    assert {r["id"] for r in late.diverted(spark, base).collect()} == want
+
+
 def test_state_is_evicted_after_the_cutoff(spark, close, tmp_path):
     parts = [[rec(f"a{i}", ts(i % 9)) for i in range(30)], [rec(f"b{i}", ts(55), dt.date(2025, 3, 5)) for i in range(5)], [rec("c", ts(60), dt.date(2025, 3, 6)), rec("a1", ts(61)), rec("d", ts(61))], [rec("e", ts(62), dt.date(2025, 3, 6))]]
     base, progress = streamed(spark, close, tmp_path, parts)
