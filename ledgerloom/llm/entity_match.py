@@ -3,18 +3,21 @@
 Candidates come from blocking keys that each join a piece of the reference or of the name with the tenant and a narrow
 band of the amount (a piece of the name also with a long stretch of days), so blocks stay small whoever the tenant or
 counterparty is. Each pair gets a log-odds score; unlikely pairs stay in as rivals. One-to-one factors over lines and
-records exchange messages through joins until they settle, and the marginal of a pair is its confidence.
+records exchange messages until they settle, component by component of the pairs, and the marginal of a pair is its
+confidence.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, opening_similarity, similarity, words
-from ..tables import cut
+from ..tables import Latest, cut, ship, written
 
 #: Channels and remarks in narrations, fees that banks take off (minor units and shares).
 CHANNELS = r"^\s*(NEFT CR|RTGS CR|IMPS|UPI|NACH|ECS CR|CHQ DEP|BY TRF)\b[ /-]*"
@@ -41,6 +44,9 @@ OTHER_COMMON = -1.0
 #: A word counts as common (a trade, a given name) in this share of distinct names, and in this many at least.
 COMMON_SHARE, COMMON_LEAST = 0.008, 12
 
+#: A connected component of at most this many contested pairs is settled in one task; how many pairs of small ones go together.
+IN_TASK, TASK_PAIRS = 200_000, 20_000
+
 
 def _days(c: Column) -> Column:
     return F.unix_date(c)
@@ -165,37 +171,110 @@ class NotSettledError(RuntimeError):
     """Messages still move after the last round."""
 
 
-def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 300, tolerance: float = 1e-3) -> DataFrame:
+def propagate(pairs: DataFrame, left: str, right: str, score: str = "score", rounds: int = 300, tolerance: float = 1e-3, in_task: int = IN_TASK) -> DataFrame:
     """Marginals of one-to-one matching by sum-product belief propagation over ``pairs`` (left, right, score).
 
     Each row of either side takes part in one match at most. A pair without any rival has a closed form and sends no
-    messages; the others exchange them by grouped sums and joins, each exchange written out, until no message moves by
-    ``tolerance``; if they still do after ``rounds``, that is a ``NotSettledError``, not a result.
+    messages; the others exchange them until no message moves by ``tolerance``; if they still do after ``rounds``, that
+    is a ``NotSettledError``, not a result. Messages stay within what pairs connect, so a component of up to ``in_task``
+    pairs exchanges all of them in one task, until its own are settled: the driver plans nothing for a round, and slow
+    components cost the others nothing. Larger components exchange messages by grouped sums and joins, round by round.
     Adds ``confidence`` in (0, 1) and ``rivals``, the other pairs of either end. Repeated pairs count once with their
     best score; pairs with a null id or score are left out.
     """
+    ship(pairs.sparkSession)
     psi = F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(score))))
     x = pairs.select(left, right, psi.alias("psi")).dropna().groupBy(left, right).agg(F.max("psi").alias("psi"))
     n_left = x.groupBy(left).agg(F.count(F.lit(1)).alias("n_left"))
     n_right = x.groupBy(right).agg(F.count(F.lit(1)).alias("n_right"))
     x = cut(x.join(n_left, left).join(n_right, right).withColumn("rivals", F.col("n_left") + F.col("n_right") - 2).drop("n_left", "n_right"))
     alone = x.where("rivals = 0").select(left, right, (F.col("psi") / (1 + F.col("psi"))).alias("confidence"), "rivals")
-    live = x.where("rivals > 0").select(left, right, "psi", "rivals", F.lit(1.0).alias("nu"))
+    live = x.where("rivals > 0").select(left, right, "psi", "rivals")
     if live.isEmpty():
         return alone
+    live = written(_with_root(live, left, right), "p2-live")
+    sizes = live.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    n, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    if most <= in_task:
+        return alone.unionByName(_in_tasks(live, n, left, right, rounds, tolerance))
+    large = cut(sizes.where(F.col("n") > in_task).select("root"))
+    found = _in_tasks(live.join(large, "root", "left_anti"), n, left, right, rounds, tolerance)
+    return alone.unionByName(found).unionByName(_by_rounds(live.join(large, "root", "left_semi"), left, right, rounds, tolerance))
+
+
+def _with_root(live: DataFrame, left: str, right: str) -> DataFrame:
+    """``live`` with ``root``, the same for all pairs of a connected component.
+
+    Large-star and small-star steps over hashes of the ends, until every node points at the least one it reaches; their
+    number goes with the logarithm of a component's width. Ends whose hashes coincide only make one component of two.
+    """
+    end = lambda side: F.xxhash64(F.lit(side == left), F.col(side))
+    latest = Latest("p2-links")
+    links = latest.keep(live.select(F.greatest(end(left), end(right)).alias("u"), F.least(end(left), end(right)).alias("v")).where("u > v").distinct())
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")
+    # A node that points at two others, or at one and is pointed at, is not done.
+    while not links.select(ends).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 0 and n > 1").isEmpty():
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("least"))
+        links = latest.keep(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct())
+        least = links.groupBy("u").agg(F.min("v").alias("least"))
+        star = links.join(least.hint("merge"), "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        links = latest.keep(star.unionByName(least.select("u", F.col("least").alias("v"))).distinct())
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root")).hint("merge")
+    return live.withColumn("node", end(left)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def _in_tasks(live: DataFrame, n: int, left: str, right: str, rounds: int, tolerance: float) -> DataFrame:
+    """Marginals of whole components, some TASK_PAIRS pairs of them at a time."""
+    types = {f.name: f.dataType.simpleString() for f in live.schema}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("root", kind="stable")
+        codes = (pd.factorize(rows[c])[0] for c in (left, right, "root"))
+        confidence, moved = settle(*codes, rows["psi"].to_numpy(), rounds, tolerance)
+        return rows[[left, right, "rivals"]].assign(confidence=confidence, moved=moved)
+
+    bucket = F.pmod(F.xxhash64("root"), F.lit(math.ceil(n / TASK_PAIRS))).alias("bucket")
+    found = live.groupBy(bucket).applyInPandas(run, f"`{left}` {types[left]}, `{right}` {types[right]}, rivals bigint, confidence double, moved double")
+    found = written(found, "p2-found")
+    if (found.agg(F.max("moved")).first()[0] or 0.0) >= tolerance:
+        raise NotSettledError(f"messages still move after {rounds} rounds")
+    return found.select(left, right, "confidence", "rivals")
+
+
+def settle(l: np.ndarray, r: np.ndarray, component: np.ndarray, psi: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(marginal, last move) of each pair between ends ``l`` and ``r``, numbered from 0 and sorted by ``component``;
+    a component stops once none of its messages moves by ``tolerance``."""
+    nu, moved, at = np.ones(len(psi)), np.zeros(len(psi)), np.arange(len(psi))
+    for _ in range(rounds):
+        a, b, p, v = l[at], r[at], psi[at], nu[at]
+        mu = p / (1 + np.maximum(0.0, np.bincount(a, p * v)[a] - p * v))
+        new = 1 / (1 + np.maximum(0.0, np.bincount(b, mu)[b] - mu))
+        nu[at], moved[at] = new, np.abs(new - v)
+        starts = np.flatnonzero(np.diff(component[at], prepend=-1))
+        most = np.repeat(np.maximum.reduceat(moved[at], starts), np.diff(starts, append=len(at)))
+        at = at[most >= tolerance]
+        if not len(at):
+            break
+    return psi * nu / (1 + np.bincount(l, psi * nu)[l]), moved
+
+
+def _by_rounds(live: DataFrame, left: str, right: str, rounds: int, tolerance: float) -> DataFrame:
+    """Marginals of components too large for one task, each exchange of messages written out."""
+    latest = Latest("p2-rounds")
+    live = live.select(left, right, "psi", "rivals", F.lit(1.0).alias("nu"))
     for _ in range(rounds):
         sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
-        out = live.join(sums, left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
+        out = live.join(sums.hint("merge"), left).withColumn("mu", F.col("psi") / (1 + F.greatest(F.lit(0.0), F.col("s") - F.col("psi") * F.col("nu"))))
         back = out.groupBy(right).agg(F.sum("mu").alias("t"))
         new = 1 / (1 + F.greatest(F.lit(0.0), F.col("t") - F.col("mu")))
-        live = cut(out.join(back, right).select(left, right, "psi", "rivals", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved")))
+        live = latest.keep(out.join(back.hint("merge"), right).select(left, right, "psi", "rivals", new.alias("nu"), F.abs(new - F.col("nu")).alias("moved")))
         if (live.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
     else:
         raise NotSettledError(f"messages still move after {rounds} rounds")
     sums = live.groupBy(left).agg(F.sum(F.col("psi") * F.col("nu")).alias("s"))
-    done = live.join(sums, left).select(left, right, (F.col("psi") * F.col("nu") / (1 + F.col("s"))).alias("confidence"), "rivals")
-    return alone.unionByName(done)
+    return live.join(sums.hint("merge"), left).select(left, right, (F.col("psi") * F.col("nu") / (1 + F.col("s"))).alias("confidence"), "rivals")
 
 
 def match(bank_line: DataFrame, records: DataFrame) -> DataFrame:

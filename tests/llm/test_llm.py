@@ -97,6 +97,24 @@ def test_propagation_says_when_it_has_not_settled(spark):
     assert all(r["rivals"] == 2 and r["confidence"] == pytest.approx(0.5, abs=0.05) for r in got)
 
 
+def test_the_driver_plans_nothing_for_a_round(spark):
+    """Components that need many more rounds take no more jobs; in a task and round by round they come out alike."""
+    jobs = lambda: spark._jsc.sc().dagScheduler().numTotalJobs()
+    pairs = [(i, f"r{i + d}", 4.0 + d / 10) for i in range(12) for d in (0, 1)] + [(i, f"s{j}", 3.0) for i in (50, 51) for j in (1, 2)] + [(60, "t", -1.0), (61, "t", 2.0), (70, "u", 1.0)]
+    df = spark.createDataFrame(pairs, "i int, j string, score double")
+    taken, got = {}, {}
+    for tolerance in (0.3, 1e-6):
+        before = jobs()
+        got = {(r["i"], r["j"]): (r["confidence"], r["rivals"]) for r in entity_match.propagate(df, "i", "j", tolerance=tolerance).collect()}
+        taken[tolerance] = jobs() - before
+    with pytest.raises(entity_match.NotSettledError):
+        entity_match.propagate(df, "i", "j", rounds=10, tolerance=1e-6)
+    assert taken[1e-6] <= taken[0.3] + 3
+    assert len(got) == len(pairs)
+    for r in entity_match.propagate(df, "i", "j", tolerance=1e-6, in_task=3).collect():
+        assert got[r["i"], r["j"]] == (pytest.approx(r["confidence"], abs=1e-4), r["rivals"])
+
+
 def test_contested_pairs_go_by_marginals(spark):
     """Rivals reach the propagation, and the better of them wins; a tie between equals is nobody's."""
     d = dt.date(2025, 5, 1)
