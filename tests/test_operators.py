@@ -113,6 +113,34 @@ def test_micro_batches_go_by_bytes_and_state_partitions(spark, sf, tmp_path, mon
     assert {r["id"] for r in late.diverted(spark, base).collect()} == want
 
 
+def launched(spark, folder, run):
+    """Command lines of the processes that the JVM launches while ``run`` runs."""
+    record = spark._jvm.jdk.jfr.Recording()
+    record.enable("jdk.ProcessStart").withoutStackTrace()
+    record.start()
+    run()
+    record.stop()
+    at = spark._jvm.java.nio.file.Path.of(str(folder / "launched.jfr"), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0))
+    record.dump(at)
+    record.close()
+    return [e.getString("command") for e in spark._jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(at)]
+
+
+def test_state_on_local_files_is_kept_without_processes(spark, close, tmp_path):
+    kept = {k: spark.conf.get(k, None) for k in late.LOCAL_FILES}
+    parts = [[rec(f"a{i}", ts(i % 9)) for i in range(30)], [rec("b", ts(11)), rec("a1", ts(-1))]]
+    commands = launched(spark, tmp_path, lambda: streamed(spark, close, tmp_path, parts))
+    assert commands and not [c for c in commands if c.startswith("readlink")]
+    # Of a state's change to a partition: the file and its checksum by Hadoop, no second pair of files.
+    assert not [c for c in commands if ".delta.crc." in c] and [c for c in commands if ".delta." in c]
+    assert {k: spark.conf.get(k, None) for k in late.LOCAL_FILES} == kept
+    same_as_batch(spark, close, str(tmp_path / "state"), [r for p in parts for r in p])
+    # A second run goes on from that state.
+    records(spark, [rec("c", ts(12)), rec("d", ts(8))]).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    late.run_event_windows(spark.readStream.schema(records(spark, []).schema).parquet(str(tmp_path / "in*")), close, str(tmp_path / "state"))
+    same_as_batch(spark, close, str(tmp_path / "state"), [*(r for p in parts for r in p), rec("c", ts(12)), rec("d", ts(8))])
+
+
 def test_state_is_evicted_after_the_cutoff(spark, close, tmp_path):
     parts = [[rec(f"a{i}", ts(i % 9)) for i in range(30)], [rec(f"b{i}", ts(55), dt.date(2025, 3, 5)) for i in range(5)], [rec("c", ts(60), dt.date(2025, 3, 6)), rec("a1", ts(61)), rec("d", ts(61))], [rec("e", ts(62), dt.date(2025, 3, 6))]]
     base, progress = streamed(spark, close, tmp_path, parts)
